@@ -74,7 +74,7 @@ for _name, (_column, _expr) in WEIGHTED.items():
 
 
 @query(with_(T, PRED, CONF, """known AS (SELECT DISTINCT model, y_true AS c FROM conf)""", select="""SELECT model, round(avg(r), 6) AS bac_closed FROM
-  (SELECT conf.model, y_true, sum(n) FILTER (y_true = y_pred) / sum(n) FILTER ((conf.model, y_pred) IN (SELECT (model, c) FROM known)) AS r
+  (SELECT conf.model, y_true, coalesce(sum(n) FILTER (y_true = y_pred), 0) / sum(n) FILTER ((conf.model, y_pred) IN (SELECT (model, c) FROM known)) AS r
    FROM conf GROUP BY conf.model, y_true) GROUP BY model"""))
 def balanced_accuracy_closed(spark, folder):
     found = scoring.balanced_accuracy_closed(scoring.confusion(predictions(spark, folder), KEYS), KEYS)

@@ -6,6 +6,7 @@ small table with one row per key, so scoring is a join on the key and an express
 over arrays. ``predict`` adds ``y_pred``, the class of largest support, lowest code on ties.
 """
 
+from trustframe.learners.base import Projected
 from trustframe.learners.bayes import GaussianBayes
 from trustframe.learners.centroid import NearestCentroid
 from trustframe.learners.trees import Boosting, DecisionTree, RandomForest
@@ -18,4 +19,4 @@ REGISTRY = {
     "gnb": GaussianBayes,
 }
 
-__all__ = ["REGISTRY", "GaussianBayes", "NearestCentroid", "DecisionTree", "RandomForest", "Boosting"]
+__all__ = ["REGISTRY", "GaussianBayes", "NearestCentroid", "DecisionTree", "RandomForest", "Boosting", "Projected"]

@@ -35,6 +35,22 @@ class Learner:
         return self.supports(test, model, keys).withColumn("y_pred", best_class(F.col("supports"))).drop("supports")
 
 
+class Projected(Learner):
+    """A learner that sees only the given 0-based features."""
+
+    def __init__(self, learner: Learner, features: Sequence[int]):
+        self.learner, self.features = learner, list(features)
+
+    def _seen(self, x: Column) -> Column:
+        return F.array(*[F.get(x, F.lit(i)) for i in self.features])
+
+    def fit(self, train: DataFrame, keys: Sequence[str], dim: int, n_classes: int) -> DataFrame:
+        return self.learner.fit(train.withColumn("x", self._seen(F.col("x"))), keys, len(self.features), n_classes)
+
+    def score_classes(self, x: Column, model: Fields = F.col) -> Column:
+        return self.learner.score_classes(self._seen(x), model)
+
+
 def best_class(supports: Column) -> Column:
     """Class of largest support, lowest code on ties."""
     ranked = F.transform(supports, lambda s: F.struct(s["support"].alias("v"), (-s["c"]).alias("k")))
