@@ -1 +1,192 @@
-"""Pending."""
+"""Redundancy, association and similarity."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trustframe.checks import query
+from trustframe.checks.models_sql import centroid_cte, f1_cte, folds_cte, gnb_cte, train_cte
+from trustframe.checks.sampling_checks import md5_sql, permuted_sql
+from trustframe.checks.tables import FEATURES, POINTS, lines, points, vectors, with_
+from trustframe.functions.arrays import pack
+from trustframe.learners import Boosting, DecisionTree, GaussianBayes, NearestCentroid, RandomForest
+from trustframe.operators import permuting
+from trustframe.operators.storage import settle
+from trustframe.plans import association as assoc
+from trustframe.plans import redundancy as red
+from trustframe.plans import similarity as sim
+
+POOL = {"centroid": NearestCentroid(), "gnb": GaussianBayes()}
+PERC = (50, 25)
+DIMS = range(1, 65)
+
+
+def splits_sql(fractions: str, runs: int) -> str:
+    return f"""copies AS (SELECT row_id, x, y, CAST(f.i AS INTEGER) AS frac_id, CAST(r.rep AS INTEGER) AS rep, f.fr FROM vectors,
+      (SELECT unnest(range(len({fractions}))) AS i, unnest({fractions}) AS fr) f, (SELECT unnest(range({runs})) AS rep) r),
+  marked AS (SELECT *, row_number() OVER (PARTITION BY frac_id, rep, y ORDER BY {md5_sql('1410', 'frac_id', 'rep', 'row_id')}, row_id)
+      <= greatest(1, round_even(fr * count(*) OVER (PARTITION BY frac_id, rep, y), 0)) AS is_train FROM copies),
+  train AS (SELECT * FROM marked WHERE is_train), test AS (SELECT * FROM marked WHERE NOT is_train)"""
+
+
+@query(with_(POINTS, splits_sql("[0.9, 0.5]", 5), centroid_cte(["frac_id", "rep"], DIMS), f1_cte(["frac_id", "rep"], "cpred"),
+  select="SELECT frac_id, rep, round(f1, 6) AS f1 FROM f1"))
+def redundancy_probe(spark, folder):
+    found = red.split_scores(points(spark, folder), NearestCentroid(), [0.9, 0.5], 5, 64, 10)
+    return found.withColumn("f1", F.round("f1", 6))
+
+
+GRID = "[0.01, 0.1, 0.2, 0.5, 0.75, 0.9]"
+GRID_SQL = with_(POINTS, splits_sql(GRID, 5), centroid_cte(["frac_id", "rep"], DIMS), f1_cte(["frac_id", "rep"], "cpred"),
+  f"graded AS (SELECT {GRID}[frac_id + 1] AS fraction, f1, max(f1) FILTER ({GRID}[frac_id + 1] = 0.9) OVER () AS best FROM f1)",
+  "passed AS (SELECT CAST(fraction AS DOUBLE) AS fraction, bool_and(best - f1 < 0.05 * best) AS ok FROM graded GROUP BY fraction)",
+  select="SELECT min(fraction) FILTER (ok) AS fraction, round(1 - min(fraction) FILTER (ok), 6) AS redundancy FROM passed")
+
+
+@query(GRID_SQL)
+def redundancy_grid(spark, folder):
+    found = red.redundancy_grid(
+        points(spark, folder), {"centroid": NearestCentroid()}, 64, 10, fractions=(0.01, 0.1, 0.2, 0.5, 0.75, 0.9), alpha=0.05
+    )
+    return found.withColumn("redundancy", F.round("redundancy", 6))
+
+
+@query()
+def redundancy(spark, folder):
+    return red.redundancy(vectors(spark, folder), {"centroid": NearestCentroid()}, 4, 3, runs=3)[0]
+
+
+@query()
+def redundancy_tree(spark, folder):
+    """A stacked tree: scores of three runs at two fractions, trained in one job per level."""
+    return red.split_scores(points(spark, folder), DecisionTree(depth=3), [0.9, 0.5], 3, 64, 10)
+
+
+BASELINE = ",\n".join([POINTS, folds_cte("vectors", 2, out="btest"), train_cte(2, "btest", "btrain"),
+  centroid_cte(["fold"], DIMS, "bc", "btrain", "btest"), gnb_cte(["fold"], DIMS, "bg", "btrain", "btest"),
+  f1_cte(["fold"], "bc", "bcf"), f1_cte(["fold"], "bg", "bgf"),
+  "baseline AS (SELECT 'centroid' AS model, avg(f1) AS score FROM bcf UNION ALL SELECT 'gnb', avg(f1) FROM bgf)"])
+
+
+@query(with_(BASELINE, select="SELECT model, round(score, 6) AS score FROM baseline"))
+def association_baseline(spark, folder):
+    return assoc.association_baseline(points(spark, folder), POOL, 64, 10).withColumn("score", F.round("score", 6))
+
+
+NPERM = 4
+PK = ["perm", "perc", "fold"]
+PERMS = ",\n".join([BASELINE, permuted_sql(perms=NPERM, levels="50, 25"),
+  "relabelled AS (SELECT perm, perc, row_id, x, y_perm AS y FROM permuted)",
+  folds_cte("relabelled", 2, ["perm", "perc"]), train_cte(2),
+  centroid_cte(PK, DIMS, "pc"), gnb_cte(PK, DIMS, "pg"), f1_cte(PK, "pc", "pcf"), f1_cte(PK, "pg", "pgf"),
+  """perm_scores AS (SELECT perm, perc, 'centroid' AS model, avg(f1) AS score FROM pcf GROUP BY ALL
+    UNION ALL SELECT perm, perc, 'gnb', avg(f1) FROM pgf GROUP BY ALL)""",
+  "perm_corr AS (SELECT perm, perc, corr(y, y_perm) AS corr FROM permuted GROUP BY ALL)",
+  """pvalues AS (SELECT s.model, perc, (count(*) FILTER (s.score >= b.score) + 1) / (count(*) + 1) AS p_value FROM perm_scores s
+    JOIN baseline b ON s.model = b.model GROUP BY ALL)""",
+  """pts AS (SELECT s.model, s.perc, CASE s.perc WHEN 50 THEN 0 ELSE 1 END AS level, avg(s.score) AS score,
+    (SELECT avg(corr) FROM perm_corr c WHERE c.perc = s.perc) AS corr FROM perm_scores s GROUP BY ALL)""",
+  """slopes AS (SELECT model, regr_slope(score, corr) AS slope, regr_intercept(score, corr) AS intercept,
+    abs((max(corr) - min(corr)) * sum(score) / 2) AS area FROM pts GROUP BY model)""",
+  "env AS (SELECT level, any_value(corr) AS corr, max(score) AS score FROM pts GROUP BY level)",
+  """result AS (SELECT (max(corr) - min(corr)) * sum(score) / 2 AS envelope_area, max(score) FILTER (level = 1) AS max_clf_score FROM env)"""])
+
+
+def permuted(spark, folder):
+    rows = points(spark, folder)
+    spec = permuting.spec_grid(NPERM, PERC)
+    scores, corr = assoc.permutation_tables(rows, POOL, 64, 10, spec)
+    return rows, scores, corr
+
+
+@query(with_(PERMS, select="SELECT perm, perc, model, round(score, 6) AS score FROM perm_scores"))
+def perm_scores(spark, folder):
+    return permuted(spark, folder)[1].withColumn("score", F.round("score", 6))
+
+
+@query(with_(PERMS, select="SELECT perm, perc, round(corr, 6) AS corr FROM perm_corr"))
+def perm_corr(spark, folder):
+    return permuted(spark, folder)[2].withColumn("corr", F.round("corr", 6))
+
+
+@query(with_(PERMS, select="SELECT model, perc, round(p_value, 6) AS p_value FROM pvalues"))
+def perm_pvalues(spark, folder):
+    rows, scores, _ = permuted(spark, folder)
+    found = assoc.perm_pvalues(assoc.association_baseline(rows, POOL, 64, 10), scores)
+    return found.withColumn("p_value", F.round("p_value", 6))
+
+
+@query(with_(PERMS, select="SELECT model, round(slope, 5) AS slope, round(intercept, 5) AS intercept, round(area, 6) AS area FROM slopes"))
+def perm_slopes(spark, folder):
+    _, scores, corr = permuted(spark, folder)
+    found = assoc.perm_slopes(assoc.level_means(scores, corr, PERC))
+    return found.select("model", F.round("slope", 5).alias("slope"), F.round("intercept", 5).alias("intercept"), F.round("area", 6).alias("area"))
+
+
+@query(with_(PERMS, select="""SELECT round(envelope_area, 6) AS envelope_area, round(max_clf_score, 6) AS max_clf_score,
+  round((0.5 - envelope_area / max_clf_score) / 0.25, 5) AS association, round((SELECT max(abs(slope)) FROM slopes), 5) AS max_slope,
+  (SELECT arg_max(model, abs(slope)) FROM slopes) AS max_slope_model, (SELECT arg_max(model, abs(area)) FROM slopes) AS max_area_model,
+  round((SELECT max(score) FROM baseline), 6) AS baseline_f1 FROM result"""))
+def association_score(spark, folder):
+    rows, scores, corr = permuted(spark, folder)
+    found = assoc.association_score(assoc.level_means(scores, corr, PERC), assoc.association_baseline(rows, POOL, 64, 10))
+    return found.withColumns({
+        "envelope_area": F.round("envelope_area", 6), "max_clf_score": F.round("max_clf_score", 6),
+        "association": F.round("association", 5), "max_slope": F.round("max_slope", 5), "baseline_f1": F.round("baseline_f1", 6),
+    })
+
+
+# two models, two levels: the fold over (count above the limit, score) written out
+@query(with_(PERMS, """m AS (SELECT p.model, count(*) FILTER (p_value > 0.01) AS above, any_value(b.score) AS score FROM pvalues p
+    JOIN baseline b ON p.model = b.model GROUP BY p.model)""",
+  """one AS (SELECT above AS c, score AS top, CASE WHEN above = 0 THEN 'Good' WHEN above < 2 THEN 'Mid' ELSE 'Bad' END AS status FROM m WHERE model = 'centroid')""",
+  """kept AS (SELECT c + above AS c, CASE WHEN c + above = 0 THEN CASE WHEN m.score < greatest(top, m.score) THEN 'Repeat' ELSE 'Good' END
+    ELSE status END AS status FROM one, m WHERE model = 'gnb')""",
+  select="SELECT CASE WHEN c < 2 AND status <> 'Good' THEN 'Mid' WHEN c = 2 THEN 'Bad' ELSE status END AS status FROM kept"))
+def association_status(spark, folder):
+    rows, scores, _ = permuted(spark, folder)
+    baseline = settle(assoc.association_baseline(rows, POOL, 64, 10), "baseline")
+    return assoc.association_status(assoc.perm_pvalues(baseline, scores), baseline, list(POOL), len(PERC))
+
+
+@query()
+def association(spark, folder):
+    """The whole test with the three tree learners, small settings."""
+    learners = {"DT": DecisionTree(depth=2), "RF": RandomForest(trees=2, depth=2, balanced=True), "XGB": Boosting(rounds=1, depth=2)}
+    return assoc.association(points(spark, folder), learners, 64, 10, nperm=2, perc=PERC)["result"]
+
+
+SIM = """scaled AS (SELECT label, list_transform(list_zip(x, lo, hi), lambda e: (e[1] - e[2]) / (e[3] - e[2])) AS x FROM
+    (SELECT y AS label, x FROM vectors), (SELECT list(lo ORDER BY i) AS lo, list(hi ORDER BY i) AS hi FROM
+      (SELECT i, min(x[i]) AS lo, max(x[i]) AS hi FROM vectors, (SELECT unnest(range(1, 65)) AS i) GROUP BY i))),
+  base AS (SELECT label AS b FROM scaled GROUP BY label ORDER BY count(*) DESC, CAST(label AS VARCHAR) LIMIT 1),
+  bm AS (SELECT i, avg(x[i]) AS m FROM scaled, base, (SELECT unnest(range(1, 65)) AS i) WHERE label = b GROUP BY i),
+  err AS (SELECT label, count(*) / 64 AS n, avg(abs(x[i] - m)) AS l1 FROM scaled, bm GROUP BY label),
+  rel AS (SELECT label, n, l1, l1 / (SELECT l1 FROM err, base WHERE label = b) AS relative FROM err)"""
+
+
+def _labelled(spark, folder):
+    return points(spark, folder).withColumnRenamed("y", "label")
+
+
+@query(with_(POINTS, SIM, select="""SELECT round(sum(n * relative) / sum(n), 6) AS similarity, CAST(any_value(b) AS VARCHAR) AS base_class
+  FROM rel, base WHERE label <> b"""))
+def similarity_mean(spark, folder):
+    return sim.similarity_mean(_labelled(spark, folder), 64)[1].withColumn("similarity", F.round("similarity", 6))
+
+
+@query(with_(POINTS, SIM, select="""SELECT CAST(label AS VARCHAR) AS label, CAST(n AS BIGINT) AS n, round(l1, 6) AS l1, round(relative, 6) AS relative FROM rel"""))
+def similarity_detail(spark, folder):
+    found = sim.similarity_mean(_labelled(spark, folder), 64)[0]
+    return found.withColumns({"l1": F.round("l1", 6), "relative": F.round("relative", 6)})
+
+
+@query()
+def similarity_pca(spark, folder):
+    rows = lines(spark, folder).select("row_id", "label", pack(FEATURES).alias("x"))
+    return sim.similarity_pca(rows, 4)[1]
+
+
+@query()
+def similarity_ae(spark, folder):
+    return sim.similarity_ae(_labelled(spark, folder), 64, epochs=5)[1]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trustframe.functions.arrays import dot
 from trustframe.learners.centroid import NearestCentroid
-from trustframe.operators.storage import settle, with_row
+from trustframe.operators.storage import settle_small, with_row
 
 SIGMA, CLIP = 3.0, 1e-6  # fixed values
 
@@ -18,7 +18,7 @@ def decision_members(train: DataFrame, dim: int) -> DataFrame:
     c0, c1 = F.get("centers", F.lit(0))["center"], F.get("centers", F.lit(1))["center"]
     b = F.zip_with(c0, c1, lambda u, v: (u + v) / 2.0)
     lined = model.select("member", b.alias("b"), F.zip_with(c1, b, lambda u, v: u - v).alias("w"))
-    return settle(lined.agg(F.array_sort(F.collect_list(F.struct("member", "b", "w"))).alias("m")), "decisions")
+    return settle_small(lined.agg(F.array_sort(F.collect_list(F.struct("member", "b", "w"))).alias("m")), "decisions")
 
 
 def decisions(rows: DataFrame, members: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def decisions(rows: DataFrame, members: DataFrame) -> DataFrame:
 def decision_scale(rows: DataFrame, members: DataFrame) -> DataFrame:
     """One row: root mean square of all members' decisions on the training rows."""
     squares = F.aggregate("d", F.lit(0.0), lambda a, v: a + v * v)
-    return settle(
+    return settle_small(
         decisions(rows, members).agg(F.sqrt(F.sum(squares) / F.sum(F.size("d"))).alias("rms")), "rms"
     )
 

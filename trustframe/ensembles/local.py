@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustframe.learners.base import Learner
-from trustframe.operators.storage import settle
+from trustframe.operators.storage import settle, settle_small
 
 
 def cluster_rows(rows: DataFrame, clusters: int = 3, seed: int = 1410) -> DataFrame:
@@ -32,7 +32,7 @@ def cluster_members(
     sizes = assigned.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("classes"), F.sum("n").alias("rows")
     )
-    kept = settle(sizes.where(F.col("classes") == 2), "kept")
+    kept = settle_small(sizes.where(F.col("classes") == 2), "kept")
     n_classes = assigned.agg(F.max("y")).first()[0] + 1
     model = learner.fit(assigned.join(kept.select(*keys), keys, "left_semi"), keys, dim, n_classes)
     return kept, model

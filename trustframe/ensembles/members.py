@@ -12,9 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trustframe.functions.arrays import take
+from trustframe.functions.arrays import let, take
 from trustframe.learners.base import Learner, best_class
-from trustframe.operators.storage import settle, with_row
+from trustframe.operators.storage import settle, settle_small, with_row
 
 
 class Ensemble:
@@ -35,7 +35,7 @@ class Ensemble:
         """``train`` has (member, x, y[, w]); with ``subspaces`` (member, features) it has
         (x, y[, w]) and every member sees all rows through its features."""
         if subspaces is not None:
-            subs = settle(subspaces.select("member", "features"), "subspaces")
+            subs = settle_small(subspaces.select("member", "features"), "subspaces")
             train = project(train, subs)
             dim = subs.select(F.size("features").alias("d")).first()["d"]
         model = learner.fit(train, ["member"], dim, n_classes)
@@ -74,17 +74,20 @@ def project(train: DataFrame, subspaces: DataFrame) -> DataFrame:
 
 def dense(supports: Column, n_classes: int) -> Column:
     """array<struct<c, support>> to one double per class code."""
-    def of(c: Column) -> Column:
+    def of(bound: Column, c: Column) -> Column:
         return F.aggregate(
-            F.filter(supports, lambda s: s["c"] == c), F.lit(0.0), lambda acc, s: acc + s["support"]
+            F.filter(bound, lambda s: s["c"] == c), F.lit(0.0), lambda acc, s: acc + s["support"]
         )
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), of)
+    def all_classes(bound: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda c: of(bound, c))
+
+    return let(supports, all_classes)
 
 
 def argmax(values: Column) -> Column:
     """0-based position of the largest value, the first on ties."""
-    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+    return let(values, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def sum_over_members(esm: Column, n_classes: int) -> Column:
@@ -101,13 +104,15 @@ def soft_vote(rows: DataFrame, ensemble: Ensemble) -> DataFrame:
 
 def weighted_bincount(votes: Column, weights: Column, n_classes: int) -> Column:
     """Weight per class over the members' votes."""
-    pairs = F.arrays_zip(votes.alias("v"), weights.alias("w"))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(n_classes - 1)),
-        lambda c: F.aggregate(
-            F.filter(pairs, lambda e: e["v"] == c), F.lit(0.0), lambda acc, e: acc + e["w"].cast("double")
-        ),
-    )
+    def per_class(pairs: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(n_classes - 1)),
+            lambda c: F.aggregate(
+                F.filter(pairs, lambda e: e["v"] == c), F.lit(0.0), lambda acc, e: acc + e["w"].cast("double")
+            ),
+        )
+
+    return let(F.zip_with(votes, weights, lambda v, w: F.struct(v.alias("v"), w.alias("w"))), per_class)
 
 
 def hard_vote(rows: DataFrame, ensemble: Ensemble) -> DataFrame:

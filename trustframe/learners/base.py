@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trustframe.functions.arrays import let
+
 Fields = Callable[[str], Column]
 
 
@@ -63,9 +65,18 @@ def weight(train: DataFrame) -> Column:
 
 def softmax(scores: Column) -> Column:
     """array<struct<c, s>> of log scores to array<struct<c, support>>."""
-    top = F.array_max(F.transform(scores, lambda m: m["s"]))
-    raw = F.transform(scores, lambda m: F.exp(m["s"] - top))
-    norm = F.aggregate(raw, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(
-        scores, lambda m: F.struct(m["c"].alias("c"), (F.exp(m["s"] - top) / norm).alias("support"))
-    )
+    def shifted(s: Column) -> Column:
+        return let(
+            F.array_max(F.transform(s, lambda m: m["s"])),
+            lambda top: F.transform(s, lambda m: F.struct(m["c"].alias("c"), F.exp(m["s"] - top).alias("e"))),
+        )
+
+    def normalised(raw: Column) -> Column:
+        return let(
+            F.aggregate(raw, F.lit(0.0), lambda a, m: a + m["e"]),
+            lambda norm: F.transform(
+                raw, lambda m: F.struct(m["c"].alias("c"), (m["e"] / norm).alias("support"))
+            ),
+        )
+
+    return let(let(scores, shifted), normalised)

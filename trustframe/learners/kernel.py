@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustframe.learners.base import best_class
-from trustframe.operators.storage import settle, with_row
+from trustframe.operators.storage import settle, settle_small, with_row
 
 MEMORY = 250  # rows kept by default
 
@@ -23,7 +23,7 @@ def kernel_model(memory_rows: DataFrame, dim: int) -> DataFrame:
         F.array(*[F.avg(v) for v in xs]).alias("mean"),
         F.array(*[F.when(F.stddev_pop(v) == 0, 1.0).otherwise(F.stddev_pop(v)) for v in xs]).alias("std"),
     )
-    scale = settle(moments, "scale")
+    scale = settle_small(moments, "scale")
     classes = scaled(memory_rows, scale).groupBy("y").agg(
         F.collect_list("z").alias("rows"), F.count(F.lit(1)).alias("n")
     )

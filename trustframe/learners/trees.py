@@ -3,7 +3,7 @@
 A level is one job: rows find their node, explode their binned features, and are
 combined map-side into (key, node, feature, bin) sums. What is shuffled is the
 histogram, whose size does not depend on the number of rows. The chosen splits are a
-small table, settled after every level.
+small table, fixed after every level.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trustframe.functions.arrays import let
 from trustframe.functions.hashing import hash_int, hash_unit
 from trustframe.learners.base import Fields, Learner, softmax, weight
-from trustframe.operators.storage import settle, with_row
+from trustframe.operators.storage import settle, settle_small, with_row
 
 Score = Callable[[list[Column]], Column]
 
@@ -26,7 +27,7 @@ Score = Callable[[list[Column]], Column]
 def bin_edges(rows: DataFrame, dim: int, bins: int) -> DataFrame:
     """One row: ascending distinct approximate quantiles of every feature."""
     cuts = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    return settle(
+    return settle_small(
         rows.agg(
             F.array(
                 *[F.array_distinct(F.percentile_approx(F.get("x", F.lit(i)), cuts, 2000)) for i in range(dim)]
@@ -60,9 +61,11 @@ def prepared(rows: DataFrame, learners: Iterable[Learner], dim: int) -> DataFram
 def _descend(splits: Column, depth: int, beyond: Callable[[Column], Column]) -> Column:
     """Heap number of the node a row ends in."""
     def step(node: Column, _: Column) -> Column:
-        split = F.try_element_at(splits, node)
-        child = 2 * node + F.when(beyond(split), 1).otherwise(0)
-        return F.when(split.isNull(), node).otherwise(child).cast("int")
+        def child(split: Column) -> Column:
+            lower = 2 * node + F.when(beyond(split), 1).otherwise(0)
+            return F.when(split.isNull(), node).otherwise(lower).cast("int")
+
+        return let(F.try_element_at(splits, node), child)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), step)
 
@@ -89,7 +92,7 @@ def grow(
         if nodes is None:
             placed = rows.withColumn("node", F.lit(1))
         else:
-            maps = settle(_split_maps(nodes, groups), "maps")
+            maps = _split_maps(nodes, groups)
             at = _descend(F.col("splits"), level, lambda s: F.get("b", s["f"]) > s["t"])
             placed = rows.join(maps, groups).withColumn("node", at).where(F.col("node") >= 2**level)
         cells = (
@@ -124,10 +127,10 @@ def grow(
             )
             .select(*groups, "node", "s.*")
         )
-        found = settle(best, "splits")
+        found = settle_small(best, "splits")
         if found.isEmpty():
             break
-        nodes = found if nodes is None else settle(nodes.unionByName(found), "nodes")
+        nodes = found if nodes is None else nodes.unionByName(found)
     return nodes if nodes is not None else found
 
 
@@ -168,8 +171,13 @@ def _gini(stats: list[Column]) -> Column:
 
 
 def _share(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(counts, lambda v: F.coalesce(F.try_divide(v, total), F.lit(0.0)))
+    def shares(values: Column) -> Column:
+        return let(
+            F.aggregate(values, F.lit(0.0), lambda a, v: a + v),
+            lambda total: F.transform(values, lambda v: F.coalesce(F.try_divide(v, total), F.lit(0.0))),
+        )
+
+    return let(counts, shares)
 
 
 class DecisionTree(Learner):
@@ -230,9 +238,9 @@ class RandomForest(DecisionTree):
     def fit(self, train: DataFrame, keys: Sequence[str], dim: int, n_classes: int) -> DataFrame:
         self.feature_share = math.sqrt(dim) / dim
         if self.balanced:
-            sizes = settle(train.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("_n")), "sizes")
+            sizes = settle_small(train.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("_n")), "sizes")
             per_key = Window.partitionBy(*keys)
-            balance = settle(
+            balance = settle_small(
                 sizes.select(
                     *keys, "y",
                     (F.sum("_n").over(per_key) / (F.count(F.lit(1)).over(per_key) * F.col("_n"))).alias("_bw"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trustframe.operators.storage import settle
+from trustframe.operators.storage import settle, settle_small
 
 TINY = 1e-12  # stands in for a zero divisor of the Q-statistic
 
@@ -110,7 +110,7 @@ def diversity_summary(predictions: DataFrame, p: float | None = None) -> DataFra
         F.avg("disagreement").alias("disagreement"), F.avg("q_statistic").alias("q_statistic")
     )
     accuracy = F.col("p_measured") if p is None else F.lit(float(p))
-    both = settle(per_row, "per_row")
+    both = settle_small(per_row, "per_row")
     row = pairs.select(
         "*", *[both.select(c).scalar().alias(c) for c in ("entropy", "members", "p_measured")]
     )

@@ -20,7 +20,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trustframe.operators.storage import settle
+from trustframe.operators.storage import settle, settle_small
 
 
 def piece_digits(spark: SparkSession) -> int:
@@ -57,7 +57,7 @@ def key_cutoffs(
     pieces = _pieces(rows, groups, key, digits)
     totals = pieces.groupBy(*groups).agg(F.sum("piece_n").alias("n"))
     wanted = targets(totals)
-    located = settle(
+    located = settle_small(
         pieces.join(wanted.drop("n"), list(groups))
         .where((F.col("target") > F.col("before")) & (F.col("target") <= F.col("before") + F.col("piece_n"))),
         "located",
@@ -68,7 +68,7 @@ def key_cutoffs(
         .join(located.select(*groups, "piece").distinct(), [*groups, "piece"], "left_semi")
         .withColumn("rn", F.row_number().over(inside))
     )
-    return settle(
+    return settle_small(
         edge.join(located, [*groups, "piece"])
         .where(F.col("rn") == F.col("target") - F.col("before"))
         .withColumn("cut", F.struct(F.col(key).alias("k"), F.col(row_id).alias("i")))
@@ -126,7 +126,7 @@ def even_blocks(
     if k < 2:
         return rows.withColumn(out, F.lit(0))
     cuts = key_cutoffs(rows, groups, borders, key, row_id)
-    per_group = settle(
+    per_group = settle_small(
         cuts.groupBy(*groups).agg(F.sort_array(F.collect_list("cut")).alias("cuts")), "borders"
     )
     beyond = F.size(F.filter("cuts", lambda c: ~at_most(c, key, row_id)))
@@ -168,7 +168,7 @@ def running_sums(
     """Adds ``<col><suffix>``: the sum of ``col`` over smaller ``order`` values of the
     group. ``points`` must hold each order value once per group (aggregate first)."""
     fractions = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-    edges = settle(
+    edges = settle_small(
         points.groupBy(*groups).agg(
             F.array_distinct(F.percentile_approx(order, fractions, 1000)).alias("edges")
         ),
@@ -181,7 +181,7 @@ def running_sums(
     )
     earlier = Window.partitionBy(*groups).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(*groups, "piece").agg(*[F.sum(c).alias(c) for c in sums])
-    offsets = settle(
+    offsets = settle_small(
         totals.select(
             *groups, "piece", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sums]
         ),

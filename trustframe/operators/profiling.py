@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustframe.functions.arrays import dot, pack
-from trustframe.operators.storage import settle, with_row
+from trustframe.operators.storage import settle_small, with_row
 
 
 def class_count(df: DataFrame, label: str = "label") -> DataFrame:
@@ -65,7 +65,7 @@ def feature_scores(df: DataFrame, features: Sequence[str], label: str = "label",
 
     One grouped aggregate gives sums per class; F follows from those.
     """
-    sums = settle(
+    sums = settle_small(
         df.where(F.col(label).isNotNull()).groupBy(label).agg(
             F.count(F.lit(1)).alias("n"),
             *[F.struct(
@@ -105,7 +105,7 @@ def principal_axes(rows: DataFrame, k: int, x: str = "x"):
     the rows are centred first.
     """
     dim = rows.select(F.size(x).alias("d")).first()["d"]
-    mean = settle(rows.agg(F.array(*[F.avg(F.get(x, F.lit(i))) for i in range(dim)]).alias("mean")), "mean")
+    mean = settle_small(rows.agg(F.array(*[F.avg(F.get(x, F.lit(i))) for i in range(dim)]).alias("mean")), "mean")
     return mean, PCA(k=k, inputCol="v", outputCol="pc").fit(_centred(rows, mean, x))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trustframe.functions.arrays import half_even
 from trustframe.functions.hashing import hash_below, key_md5
 from trustframe.operators.ordering import even_blocks, first_rows, hash_rank
-from trustframe.operators.storage import settle
+from trustframe.operators.storage import settle, settle_small
 from trustframe.operators.transforming import class_sizes
 
 
@@ -148,7 +148,7 @@ def oversample(rows: DataFrame, y: str = "y", seed: int = 1410) -> DataFrame:
     is built on one task.
     """
     every = Window.partitionBy(F.lit(1))
-    sizes = settle(
+    sizes = settle_small(
         class_sizes(rows, [y]).withColumn("deficit", F.max("n_class").over(every) - F.col("n_class")), "deficit"
     )
     ranked = settle(

@@ -4,6 +4,10 @@
 result survives the loss of executors, is computed once, and has an exact size in
 its statistics. Joins against it therefore need no hint: Spark broadcasts it while
 it is below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles both sides beyond.
+
+``settle_small`` does the same for tables that are expected to hold a few rows per
+class or replicate: up to ``limit`` rows they stay in the plan as a local relation,
+beyond that they are settled.
 """
 
 from __future__ import annotations
@@ -43,3 +47,14 @@ def settle(df: DataFrame, label: str = "part") -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+SMALL_ROWS = 20_000
+
+
+def settle_small(df: DataFrame, label: str = "part", limit: int = SMALL_ROWS) -> DataFrame:
+    """``df`` as a local relation if it has at most ``limit`` rows, settled otherwise."""
+    rows = df.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
+        return settle(df, label)
+    return df.sparkSession.createDataFrame(rows, df.schema)

@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trustframe.operators.storage import settle, with_row
+from trustframe.operators.storage import settle_small, with_row
 
 
 def label_codes(df: DataFrame, label: str = "label") -> DataFrame:
     """(label, y): codes 0.. in the label's own order. The window runs over distinct labels."""
     distinct = df.where(F.col(label).isNotNull()).select(label).distinct()
     order = Window.partitionBy(F.lit(1)).orderBy(label)
-    return settle(distinct.withColumn("y", (F.row_number().over(order) - 1).cast("int")), "codes")
+    return settle_small(distinct.withColumn("y", (F.row_number().over(order) - 1).cast("int")), "codes")
 
 
 def label_encode(df: DataFrame, label: str = "label") -> DataFrame:
@@ -22,12 +22,12 @@ def label_encode(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def class_sizes(df: DataFrame, groups: Sequence[str]) -> DataFrame:
-    return settle(df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_class")), "sizes")
+    return settle_small(df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_class")), "sizes")
 
 
 def minmax_scale(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(x - min) / (max - min) over the whole table; a constant feature becomes 0."""
-    ranges = settle(
+    ranges = settle_small(
         df.agg(
             *[F.struct(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")).alias(c)
               for c in features]
@@ -50,7 +50,7 @@ def minmax_scale(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def standard_scale(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(x - mean) / population std; a zero std divides by 1."""
-    moments = settle(
+    moments = settle_small(
         df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in features]),
         "moments",
     )
@@ -63,7 +63,7 @@ def standard_scale(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def minmax_vectors(rows: DataFrame, x: str = "x") -> DataFrame:
     """Min-max scaling of an array column, element by element."""
     dim = rows.select(F.size(x).alias("d")).first()["d"]
-    bounds = settle(
+    bounds = settle_small(
         rows.agg(
             F.array(*[F.min(F.get(x, F.lit(i))) for i in range(dim)]).alias("lo"),
             F.array(*[F.max(F.get(x, F.lit(i))) for i in range(dim)]).alias("hi"),
@@ -81,7 +81,7 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Adds ``w = n / (classes * n_class)``: every class weighs the same in total."""
     sizes = class_sizes(df.where(F.col(label).isNotNull()), [label])
     every = Window.partitionBy(F.lit(1))
-    weights = settle(
+    weights = settle_small(
         sizes.select(
             label,
             (F.sum("n_class").over(every) / (F.count(F.lit(1)).over(every) * F.col("n_class"))).alias("w"),

@@ -17,7 +17,7 @@ from trustframe.learners.trees import prepared
 from trustframe.operators.permuting import Spec, expand_permutations, permuted_rows, spec_grid
 from trustframe.operators.sampling import stratified_kfold
 from trustframe.operators.scoring import confusion, label_corr, score_table_wide, slope, trapezoid_auc
-from trustframe.operators.storage import settle
+from trustframe.operators.storage import settle, settle_small
 from trustframe.plans.evaluation import training_folds
 
 PERCENTAGES, PERMUTATIONS, FOLDS = (50, 30, 10, 1), 100, 2  # fixed default values
@@ -68,10 +68,10 @@ def permutation_tables(
         part = list(spec[start : start + batch])
         permuted = settle(permuted_rows(rows, part, seed, redraw), "permuted")
         long = expand_permutations(permuted, part)
-        corrs.append(settle(label_corr(long, ["perm", "perc"]), "corr"))
+        corrs.append(settle_small(label_corr(long, ["perm", "perc"]), "corr"))
         relabelled = long.drop("y").withColumnRenamed("y_perm", "y")
         folds = stratified_kfold(relabelled, FOLDS, keys=["perm", "perc"], seed=seed)
-        scores.append(settle(_fold_means(folds, learners, ["perm", "perc"], dim, n_classes), "scores"))
+        scores.append(settle_small(_fold_means(folds, learners, ["perm", "perc"], dim, n_classes), "scores"))
     return reduce(DataFrame.unionByName, scores), reduce(DataFrame.unionByName, corrs)
 
 
@@ -114,7 +114,7 @@ def association_score(points: DataFrame, baseline: DataFrame | None = None) -> D
         F.max_by("model", F.abs("slope")).alias("max_slope_model"),
         F.max_by("model", F.abs("area")).alias("max_area_model"),
     )
-    steepest = settle(slopes, "slopes")
+    steepest = settle_small(slopes, "slopes")
     out = area.select(
         F.col("area").alias("envelope_area"),
         "max_clf_score",
@@ -122,7 +122,7 @@ def association_score(points: DataFrame, baseline: DataFrame | None = None) -> D
         *[steepest.select(c).scalar().alias(c) for c in steepest.columns],
     )
     if baseline is not None:
-        best = settle(baseline.agg(F.max("score").alias("b")), "best")
+        best = settle_small(baseline.agg(F.max("score").alias("b")), "best")
         out = out.withColumn("baseline_f1", best.scalar())
     return out
 
@@ -169,12 +169,12 @@ def association(
 ) -> dict[str, DataFrame]:
     """All tables of the test, ``result`` being the one-row summary."""
     rows = prepared(rows, learners.values(), dim)
-    baseline = settle(association_baseline(rows, learners, dim, n_classes, seed), "baseline")
+    baseline = settle_small(association_baseline(rows, learners, dim, n_classes, seed), "baseline")
     scores, corr = permutation_tables(rows, learners, dim, n_classes, spec_grid(nperm, perc), seed, redraw)
-    pvalues = settle(perm_pvalues(baseline, scores), "pvalues")
-    points = settle(level_means(scores, corr, perc), "points")
+    pvalues = settle_small(perm_pvalues(baseline, scores), "pvalues")
+    points = settle_small(level_means(scores, corr, perc), "points")
     status = association_status(pvalues, baseline, list(learners), len(perc))
-    result = association_score(points, baseline).withColumn("status", settle(status, "status").scalar())
+    result = association_score(points, baseline).withColumn("status", settle_small(status, "status").scalar())
     return {
         "baseline": baseline, "perm_scores": scores, "perm_corr": corr, "pvalues": pvalues,
         "slopes": perm_slopes(points), "result": result,

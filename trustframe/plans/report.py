@@ -12,7 +12,7 @@ from trustframe.functions.arrays import pack
 from trustframe.learners import REGISTRY
 from trustframe.operators.cleaning import any_missing, dedupe, drop_missing, nan_to_null, normalize_missing
 from trustframe.operators.sampling import capped_sample, rare_class_filter
-from trustframe.operators.storage import settle
+from trustframe.operators.storage import settle, settle_small
 from trustframe.operators.transforming import label_encode, minmax_scale
 from trustframe.plans.association import association
 from trustframe.plans.redundancy import redundancy
@@ -84,11 +84,11 @@ def profile_row(df: DataFrame, unique: DataFrame, features: Sequence[str], confi
     columns = [*features, "label"]
     raw = nan_to_null(df, features)
     groups = raw.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
-    by_class = settle(groups.groupBy("label").agg(F.sum("copies").alias("n"), F.sum(F.col("copies") - 1).alias("dup")), "classes")
+    by_class = settle_small(groups.groupBy("label").agg(F.sum("copies").alias("n"), F.sum(F.col("copies") - 1).alias("dup")), "classes")
     labelled = by_class.where(F.col("label").isNotNull())
     has_gap = any_missing(columns)
     kept = F.count_if(~has_gap) if config.delete_nan else F.count(F.lit(1))
-    after = settle(
+    after = settle_small(
         unique.groupBy("label").agg(F.count_if(has_gap).alias("missing"), kept.alias("complete")), "after"
     )
     capped = after.where(F.col("label").isNotNull() & (F.col("complete") > 0)).select(

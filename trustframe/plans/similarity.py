@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from trustframe.functions.arrays import total
 from trustframe.functions.hashing import hash_unit
-from trustframe.operators.storage import settle, with_row
+from trustframe.operators.storage import settle, settle_small, with_row
 from trustframe.operators.transforming import minmax_vectors
 
 
@@ -38,7 +38,7 @@ def hidden_sizes(dim: int) -> tuple[int, int]:
 
 def _summary(errors: DataFrame, base: str) -> tuple[DataFrame, DataFrame]:
     """Detail (label, n, l1, relative) and the one-row metric from (label, n, l1)."""
-    errors = settle(errors, "errors")
+    errors = settle_small(errors, "errors")
     base_l1 = errors.where(F.col("label") == base).agg(F.max("l1")).scalar()
     detail = errors.withColumn("relative", F.try_divide(F.col("l1"), base_l1))
     other = F.col("label") != base
@@ -56,7 +56,7 @@ def _class_errors(rows: DataFrame, rebuilt: Column, dim: int) -> DataFrame:
 
 
 def _base_mean(base_rows: DataFrame, dim: int) -> DataFrame:
-    return settle(base_rows.agg(F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(dim)]).alias("mean")), "mean")
+    return settle_small(base_rows.agg(F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(dim)]).alias("mean")), "mean")
 
 
 def similarity_mean(rows: DataFrame, dim: int, base: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from trustframe.functions.arrays import pack
 from trustframe.functions.hashing import hash_unit
 from trustframe.operators.cleaning import nan_to_null
-from trustframe.operators.storage import settle
+from trustframe.operators.storage import settle, settle_small
 
 FILE_NAME = r"([a-zA-Z0-9\-_]+)\.csv$"  # accepted file names (fixed pattern)
 
@@ -81,7 +81,7 @@ def dataset_tags(collection: DataFrame) -> DataFrame:
             F.when(F.col("ratio") > 3, F.lit("imbalanced")).otherwise(F.lit("balanced")),
         )
     )
-    return settle(summary.select("dataset", tags.alias("tags")), "tags")
+    return settle_small(summary.select("dataset", tags.alias("tags")), "tags")
 
 
 def select_datasets(
