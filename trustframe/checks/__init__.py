@@ -24,6 +24,25 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return register
 
 
+_KEPT: dict[tuple[str, str, str], object] = {}
+
+
+def kept(fn: Callable) -> Callable:
+    """Keeps a settled intermediate result for the other queries of the same session."""
+    def once(spark: SparkSession, folder: str):
+        key = (spark.sparkContext.applicationId, folder, fn.__name__)
+        if key not in _KEPT:
+            _KEPT[key] = fn(spark, folder)
+        return _KEPT[key]
+
+    return once
+
+
+def forget() -> None:
+    """Drops kept results, so that the next query computes everything itself."""
+    _KEPT.clear()
+
+
 def load_all() -> None:
     from trustframe.checks import (  # noqa: F401
         ensemble_checks,

@@ -102,7 +102,7 @@ ALL_PARTS = [IMBALANCED, PARTS, OVER,
 
 
 @query(with_(*ALL_PARTS,
-  "nw AS (SELECT member, (w - min(w) OVER ()) / (max(w) OVER () - min(w) OVER ()) + 0.01 AS nw FROM bac)",
+  "nw AS (SELECT member, coalesce((w - min(w) OVER ()) / nullif(max(w) OVER () - min(w) OVER (), 0), 0) + 0.01 AS nw FROM bac)",
   "con AS (SELECT member, row_id, abs(sum(CASE WHEN c = 0 THEN p ELSE -p END)) AS con FROM gpred_s GROUP BY ALL)",
   "v AS (SELECT s.row_id, s.c, sum(p * nw * con) AS p FROM gpred_s s JOIN nw USING (member) JOIN con ON con.member = s.member AND con.row_id = s.row_id GROUP BY ALL)",
   select="SELECT row_id, CAST(arg_max(c, p) AS INTEGER) AS y_pred FROM v GROUP BY row_id"))
@@ -231,7 +231,7 @@ POOL = np.array([[[(e + m + f) % 3 > 0 for f in range(4)] for m in range(3)] for
 
 @query(with_(STATUS, "train AS (SELECT * FROM vectors)", """mo AS (SELECT y AS c, i, CAST(count(*) AS DOUBLE) AS n, avg(x[i]) AS m, var_pop(x[i]) AS v FROM vectors,
     (SELECT unnest(range(1, 5)) AS i) GROUP BY ALL)""",
-  """mv AS (SELECT e, k AS member, c, i, n, m, CASE WHEN (e + k + i - 1) % 3 > 0 THEN v ELSE 1e7 END AS v FROM mo, (SELECT unnest(range(4)) AS e),
+  """mv AS (SELECT e, k AS member, c, i, n, m, CASE WHEN (e + k + i - 1) % 3 > 0 THEN greatest(v, (SELECT max(v) FROM mo) * 1e-9) ELSE 1e7 END AS v FROM mo, (SELECT unnest(range(4)) AS e),
     (SELECT unnest(range(3)) AS k))""",
   "lj AS (SELECT e, member, row_id, y, c, ln(any_value(n)) + sum(-0.5 * ln(2 * pi() * v) - (x[i] - m) ** 2 / (2 * v)) AS s FROM vectors, mv GROUP BY ALL)",
   "ex AS (SELECT *, exp(s - max(s) OVER (PARTITION BY e, member, row_id)) AS z FROM lj)",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trustframe.checks import query
+from trustframe.checks import kept, query
 from trustframe.checks.models_sql import centroid_cte, f1_cte, folds_cte, gnb_cte, train_cte
 from trustframe.checks.profile_checks import COLLECTION, collection
 from trustframe.checks.tables import POINTS, STATUS, VECTORS, points, status_vectors, table, vectors, with_
@@ -15,7 +15,7 @@ from trustframe.learners.kernel import radius_kernel as kernel
 from trustframe.operators import diversity, testing
 from trustframe.operators.neighbors import knn_classify, nearest
 from trustframe.operators.sampling import stratified_kfold
-from trustframe.operators.storage import settle
+from trustframe.operators.storage import settle, spread
 from trustframe.plans.evaluation import cv_predictions as cv
 from trustframe.plans.evaluation import cv_scores as scores_of
 
@@ -23,8 +23,9 @@ K = 5
 MODELS = ["centroid", "gnb", "gnb_pair"]
 
 
-def folded(spark, folder, k=K):
-    return settle(stratified_kfold(collection(spark, folder), k, keys=["dataset"]), "folded")
+@kept
+def folded(spark, folder):
+    return settle(stratified_kfold(spread(collection(spark, folder)), K, keys=["dataset"]), "folded")
 
 
 def learners():
@@ -52,6 +53,7 @@ RANKS = MEANS + """,
     + (count(*) OVER (PARTITION BY dataset, metric, mean) - 1) / 2.0 AS rank FROM means)"""
 
 
+@kept
 def scores(spark, folder):
     return settle(scores_of(predicted(spark, folder)), "scores")
 
@@ -60,6 +62,7 @@ def means(spark, folder):
     return testing.mean_std(scores(spark, folder))
 
 
+@kept
 def ranks(spark, folder):
     return settle(testing.model_ranks(means(spark, folder)), "ranks")
 
@@ -282,6 +285,7 @@ ONE = CV + """,
   half AS (SELECT * FROM pairs WHERE model_a < model_b)"""
 
 
+@kept
 def one(spark, folder):
     return settle(predicted(spark, folder).where("dataset = 'ASIA'"), "one")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trustframe.checks import query
+from trustframe.checks import kept, query
 from trustframe.checks.models_sql import centroid_cte, f1_cte, folds_cte, gnb_cte, train_cte
 from trustframe.checks.sampling_checks import md5_sql, permuted_sql
 from trustframe.checks.tables import FEATURES, POINTS, lines, points, vectors, with_
@@ -16,6 +16,11 @@ from trustframe.plans import association as assoc
 from trustframe.plans import redundancy as red
 from trustframe.plans import similarity as sim
 
+@kept
+def baseline(spark, folder):
+    return settle(assoc.association_baseline(points(spark, folder), POOL, 64, 10), "baseline")
+
+
 POOL = {"centroid": NearestCentroid(), "gnb": GaussianBayes()}
 PERC = (50, 25)
 DIMS = range(1, 65)
@@ -70,7 +75,7 @@ BASELINE = ",\n".join([POINTS, folds_cte("vectors", 2, out="btest"), train_cte(2
 
 @query(with_(BASELINE, select="SELECT model, round(score, 6) AS score FROM baseline"))
 def association_baseline(spark, folder):
-    return assoc.association_baseline(points(spark, folder), POOL, 64, 10).withColumn("score", F.round("score", 6))
+    return baseline(spark, folder).withColumn("score", F.round("score", 6))
 
 
 NPERM = 4
@@ -92,6 +97,7 @@ PERMS = ",\n".join([BASELINE, permuted_sql(perms=NPERM, levels="50, 25"),
   """result AS (SELECT (max(corr) - min(corr)) * sum(score) / 2 AS envelope_area, max(score) FILTER (level = 1) AS max_clf_score FROM env)"""])
 
 
+@kept
 def permuted(spark, folder):
     rows = points(spark, folder)
     spec = permuting.spec_grid(NPERM, PERC)
@@ -111,8 +117,8 @@ def perm_corr(spark, folder):
 
 @query(with_(PERMS, select="SELECT model, perc, round(p_value, 6) AS p_value FROM pvalues"))
 def perm_pvalues(spark, folder):
-    rows, scores, _ = permuted(spark, folder)
-    found = assoc.perm_pvalues(assoc.association_baseline(rows, POOL, 64, 10), scores)
+    _, scores, _ = permuted(spark, folder)
+    found = assoc.perm_pvalues(baseline(spark, folder), scores)
     return found.withColumn("p_value", F.round("p_value", 6))
 
 
@@ -128,8 +134,8 @@ def perm_slopes(spark, folder):
   (SELECT arg_max(model, abs(slope)) FROM slopes) AS max_slope_model, (SELECT arg_max(model, abs(area)) FROM slopes) AS max_area_model,
   round((SELECT max(score) FROM baseline), 6) AS baseline_f1 FROM result"""))
 def association_score(spark, folder):
-    rows, scores, corr = permuted(spark, folder)
-    found = assoc.association_score(assoc.level_means(scores, corr, PERC), assoc.association_baseline(rows, POOL, 64, 10))
+    _, scores, corr = permuted(spark, folder)
+    found = assoc.association_score(assoc.level_means(scores, corr, PERC), baseline(spark, folder))
     return found.withColumns({
         "envelope_area": F.round("envelope_area", 6), "max_clf_score": F.round("max_clf_score", 6),
         "association": F.round("association", 5), "max_slope": F.round("max_slope", 5), "baseline_f1": F.round("baseline_f1", 6),
@@ -144,9 +150,9 @@ def association_score(spark, folder):
     ELSE status END AS status FROM one, m WHERE model = 'gnb')""",
   select="SELECT CASE WHEN c < 2 AND status <> 'Good' THEN 'Mid' WHEN c = 2 THEN 'Bad' ELSE status END AS status FROM kept"))
 def association_status(spark, folder):
-    rows, scores, _ = permuted(spark, folder)
-    baseline = settle(assoc.association_baseline(rows, POOL, 64, 10), "baseline")
-    return assoc.association_status(assoc.perm_pvalues(baseline, scores), baseline, list(POOL), len(PERC))
+    _, scores, _ = permuted(spark, folder)
+    true = baseline(spark, folder)
+    return assoc.association_status(assoc.perm_pvalues(true, scores), true, list(POOL), len(PERC))
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustframe.functions.arrays import pack
+from trustframe.operators.storage import spread
 from trustframe.operators.transforming import label_encode
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -70,26 +71,27 @@ COMPLETE = """complete AS (
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     """(row_id, x of four features, y) of the lines, y = code of the return flag."""
-    return label_encode(lines(spark, folder)).select("row_id", pack(FEATURES).alias("x"), "y")
+    return label_encode(spread(lines(spark, folder))).select("row_id", pack(FEATURES).alias("x"), "y")
 
 
 def status_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Two-class form: y = 1 for line status O."""
-    df = lines(spark, folder, "l_linestatus")
+    df = spread(lines(spark, folder, "l_linestatus"))
     return df.select("row_id", pack(FEATURES).alias("x"), (F.col("label") == "O").cast("int").alias("y"))
 
 
 def imbalanced(spark: SparkSession, folder: str) -> DataFrame:
     """Two imbalanced classes: y = 1 for lines of quantity above 40 with return flag R."""
     y = ((F.col("l_quantity") > 40) & (F.col("label") == "R")).cast("int")
-    return lines(spark, folder).select("row_id", pack(FEATURES).alias("x"), y.alias("y"))
+    return spread(lines(spark, folder)).select("row_id", pack(FEATURES).alias("x"), y.alias("y"))
 
 
 def points(spark: SparkSession, folder: str) -> DataFrame:
     """(row_id, x of 64 values, y) of the embeddings."""
-    return table(spark, folder, "embeddings").select(
+    rows = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("x"), F.col("label").alias("y")
     )
+    return spread(rows)
 
 
 X_SQL = "[l_quantity, l_extendedprice, l_discount, l_tax]"

@@ -41,7 +41,9 @@ class Ensemble:
         model = learner.fit(train, ["member"], dim, n_classes)
         if subspaces is not None:
             model = model.join(subs, "member")
-        packed = model.agg(F.array_sort(F.collect_list(F.struct("member", *[c for c in model.columns if c != "member"]))).alias("members"))
+        fields = [c for c in model.columns if c != "member"]
+        listed = F.collect_list(F.struct("member", *fields))
+        packed = model.agg(F.array_sort(listed, lambda a, b: a["member"] - b["member"]).alias("members"))
         return cls(learner, settle(packed, "ensemble"), n_classes, subspaces is not None)
 
     def supports(self, rows: DataFrame, out: str = "esm") -> DataFrame:

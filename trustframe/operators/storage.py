@@ -41,6 +41,15 @@ def with_row(df: DataFrame, single: DataFrame) -> DataFrame:
     return df.withColumns({c: single.select(c).scalar() for c in single.columns})
 
 
+def spread(df: DataFrame, key: str = "row_id") -> DataFrame:
+    """A frame read from fewer files than the session has cores, split over all cores.
+
+    For tables of few files only; tables of many files are already split by the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def settle(df: DataFrame, label: str = "part") -> DataFrame:
     """Writes ``df`` to the shared folder and returns the written table."""
     spark = df.sparkSession
