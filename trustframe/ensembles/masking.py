@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trustframe.functions.hashing import hash_below
 from trustframe.learners.bayes import GaussianBayes
@@ -159,5 +160,5 @@ def masked_vote(rows: DataFrame, model: BaseModel, masks: np.ndarray) -> DataFra
             pred = member_supports(model, masks, x).mean(axis=0).argmax(axis=1) if len(batch) else []
             yield batch.assign(y_pred=np.asarray(pred, dtype=np.int32))
 
-    schema = rows.schema.add("y_pred", "int")
+    schema = T.StructType([*rows.schema.fields, T.StructField("y_pred", T.IntegerType())])
     return rows.mapInPandas(decide, schema)
