@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trustframe.config import ReportConfig
 from trustframe.functions.arrays import pack
 from trustframe.learners import REGISTRY
-from trustframe.operators.cleaning import any_missing, dedupe, drop_missing, nan_to_null, normalize_missing
+from trustframe.operators.cleaning import any_missing, copies, drop_missing, nan_to_null, normalize_missing
 from trustframe.operators.sampling import capped_sample, rare_class_filter
 from trustframe.operators.storage import settle, settle_small
 from trustframe.operators.transforming import label_encode, minmax_scale
@@ -62,16 +62,29 @@ def register_metric(name: str, metric: Metric) -> None:
     METRICS[name] = metric
 
 
-def clean(df: DataFrame, features: Sequence[str], config: ReportConfig) -> tuple[DataFrame, DataFrame]:
-    """(deduplicated table with inf as NULL, cleaned sample). ``df`` has row_id, features, label."""
+def distinct_rows(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """One row per distinct (features, label) with its first row id and number of copies.
+
+    Class sizes, duplicates and the deduplicated table all come from this one shuffle.
+    """
     raw = nan_to_null(df, features).select("row_id", *features, "label")
-    unique = dedupe(raw, [*features, "label"]) if config.delete_duplicated else raw
-    unique = settle(normalize_missing(unique, features), "unique")
-    complete = drop_missing(unique, [*features, "label"]) if config.delete_nan else unique
+    return settle(copies(raw, [*features, "label"]), "distinct")
+
+
+def clean(
+    df: DataFrame, features: Sequence[str], config: ReportConfig, distinct: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(table after duplicates, inf as NULL; cleaned sample). ``df`` has row_id, features, label."""
+    if config.delete_duplicated:
+        rows = (distinct_rows(df, features) if distinct is None else distinct).drop("copies")
+    else:
+        rows = nan_to_null(df, features).select("row_id", *features, "label")
+    rows = normalize_missing(rows, features)
+    complete = drop_missing(rows, [*features, "label"]) if config.delete_nan else rows
     sample = rare_class_filter(
         capped_sample(complete, limit=config.sampling_limit, seed=config.seed), min_rows=config.min_sample_limit
     )
-    return unique, sample
+    return rows, sample
 
 
 def _size_map(counts: DataFrame, n: str = "n") -> DataFrame:
@@ -79,17 +92,16 @@ def _size_map(counts: DataFrame, n: str = "n") -> DataFrame:
     return counts.agg(F.map_from_entries(F.array_sort(entries)).alias("m"))
 
 
-def profile_row(df: DataFrame, unique: DataFrame, features: Sequence[str], config: ReportConfig) -> DataFrame:
-    """One row with every count of the report."""
+def profile_row(distinct: DataFrame, rows: DataFrame, features: Sequence[str], config: ReportConfig) -> DataFrame:
+    """One row with every count of the report, from the distinct rows and the table after
+    duplicates."""
     columns = [*features, "label"]
-    raw = nan_to_null(df, features)
-    groups = raw.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
-    by_class = settle_small(groups.groupBy("label").agg(F.sum("copies").alias("n"), F.sum(F.col("copies") - 1).alias("dup")), "classes")
+    by_class = settle_small(distinct.groupBy("label").agg(F.sum("copies").alias("n"), F.sum(F.col("copies") - 1).alias("dup")), "classes")
     labelled = by_class.where(F.col("label").isNotNull())
     has_gap = any_missing(columns)
     kept = F.count_if(~has_gap) if config.delete_nan else F.count(F.lit(1))
     after = settle_small(
-        unique.groupBy("label").agg(F.count_if(has_gap).alias("missing"), kept.alias("complete")), "after"
+        rows.groupBy("label").agg(F.count_if(has_gap).alias("missing"), kept.alias("complete")), "after"
     )
     capped = after.where(F.col("label").isNotNull() & (F.col("complete") > 0)).select(
         "label", F.least("complete", F.lit(config.sampling_limit)).alias("n")
@@ -122,8 +134,9 @@ def dataset_report(
     ``df`` holds ``row_id``, the feature columns and ``label``.
     """
     pool = dict(METRICS if metrics is None else metrics)
-    unique, sample = clean(df, features, config)
-    row = profile_row(df, unique, features, config)
+    distinct = distinct_rows(df, features)
+    rows, sample = clean(df, features, config, distinct)
+    row = profile_row(distinct, rows, features, config)
     wanted = [m for m in config.metrics if m in pool]
     if wanted:
         sample = settle(sample, "sample")
@@ -160,7 +173,7 @@ def catalogue_report(report: DataFrame) -> DataFrame:
         ).alias("generic_info"),
         F.lit("").alias("dataset_drift_analysis"),
         F.struct(
-            value("association.association").alias("perqoda_permutation_slope"),
+            value("association.association").alias("permutation_slope"),
             value("association.status").alias("p_value_status"),
             value("redundancy.redundancy").alias("redundancy"),
             value("similarity.similarity").alias("similarity"),
