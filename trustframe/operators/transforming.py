@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustframe.operators.storage import settle_small, with_row
@@ -27,36 +27,26 @@ def class_sizes(df: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 def minmax_scale(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(x - min) / (max - min) over the whole table; a constant feature becomes 0."""
-    ranges = settle_small(
-        df.agg(
-            *[F.struct(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")).alias(c)
-              for c in features]
-        ),
-        "ranges",
-    )
-    bounds = {c: ranges.select(c).scalar() for c in features}
-    return df.withColumns(
-        {
-            c: F.when(
-                F.col(c).isNotNull(),
-                F.coalesce(
-                    F.try_divide(F.col(c) - bounds[c]["lo"], bounds[c]["hi"] - bounds[c]["lo"]), F.lit(0.0)
-                ),
-            )
-            for c in features
-        }
-    )
+    low = [F.min(c).cast("double").alias(f"lo_{c}") for c in features]
+    high = [F.max(c).cast("double").alias(f"hi_{c}") for c in features]
+    found = df.agg(*low, *high).first()  # two numbers per feature
+
+    def scaled(c: str) -> Column:
+        lo, hi = found[f"lo_{c}"], found[f"hi_{c}"]
+        if lo is None or hi <= lo:
+            return F.when(F.col(c).isNotNull(), F.lit(0.0))
+        return (F.col(c) - F.lit(lo)) / F.lit(hi - lo)
+
+    return df.withColumns({c: scaled(c) for c in features})
 
 
 def standard_scale(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(x - mean) / population std; a zero std divides by 1."""
-    moments = settle_small(
-        df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in features]),
-        "moments",
-    )
-    m = {c: moments.select(c).scalar() for c in features}
+    means = [F.avg(c).alias(f"m_{c}") for c in features]
+    spreads = [F.stddev_pop(c).alias(f"s_{c}") for c in features]
+    found = df.agg(*means, *spreads).first()  # two numbers per feature
     return df.withColumns(
-        {c: (F.col(c) - m[c]["m"]) / F.when(m[c]["s"] == 0, 1.0).otherwise(m[c]["s"]) for c in features}
+        {c: (F.col(c) - F.lit(found[f"m_{c}"])) / F.lit(found[f"s_{c}"] or 1.0) for c in features}
     )
 
 
