@@ -22,7 +22,7 @@ HEADLINE = [
     "report", "dedupe", "class_distribution", "minmax_scale", "capped_sample", "stratified_split",
     "stratified_kfold", "bootstrap", "permute_labels", "f1_weighted", "roc_auc", "feature_scores",
     "cv_scores", "gnb_predict", "knn_minkowski", "tree_predict", "redundancy_probe", "perm_scores",
-    "similarity_mean", "soft_vote_bagging", "dynamic_union", "budget_active",
+    "similarity_mean", "soft_vote", "dynamic_union", "budget_active",
 ]
 
 

@@ -69,13 +69,13 @@ def bagged(spark, folder):
 
 
 @query(with_(*BAGS, "v AS (SELECT row_id, c, avg(p) AS p FROM gpred_s GROUP BY ALL)",
-  select="SELECT row_id, CAST(arg_max(c, p) AS INTEGER) AS y_pred, round(max(p), 5) AS support FROM v GROUP BY row_id"))
+  select="SELECT row_id, CAST(arg_max(c, p) AS INTEGER) AS y_pred, round(max(p), 5) AS support FROM v GROUP BY row_id"), name="soft_vote")
 def soft_vote_bagging(spark, folder):
     rows, ensemble = bagged(spark, folder)
     return soft_vote(rows, ensemble).select("row_id", "y_pred", F.round(F.array_max("support"), 5).alias("support"))
 
 
-@query(with_(*BAGS, select="SELECT row_id, CAST(count(*) FILTER (y_pred = 1) > 2 AS INTEGER) AS y_pred FROM gpred GROUP BY row_id"))
+@query(with_(*BAGS, select="SELECT row_id, CAST(count(*) FILTER (y_pred = 1) > 2 AS INTEGER) AS y_pred FROM gpred GROUP BY row_id"), name="hard_vote")
 def hard_vote_bagging(spark, folder):
     rows, ensemble = bagged(spark, folder)
     return hard(rows, ensemble).select("row_id", "y_pred")
@@ -151,7 +151,7 @@ def resampling_bac(spark, folder):
 
 
 @query(with_(IMBALANCED, UNDER, "train AS (SELECT 0 AS member, x, y FROM under)", "test AS (SELECT 0 AS member, row_id, x, y FROM vectors)",
-  gnb_cte(["member"], ALL4), select="SELECT row_id, y_pred FROM gpred"))
+  gnb_cte(["member"], ALL4), select="SELECT row_id, y_pred FROM gpred"), name="resampled_fit")
 def resampled_fit_predict(spark, folder):
     rows = imbalanced(spark, folder)
     model = resampled_fit(GNB, sampling.undersample(rows), 4, 2)
