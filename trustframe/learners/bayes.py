@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustframe.functions.arrays import total
-from trustframe.learners.base import Fields, Learner, best_class, softmax, weight
+from trustframe.learners.base import Fields, Learner, best_class, softmax
 from trustframe.operators.storage import settle
 
 VARIANCE_FLOOR = 1e-9  # times the largest variance of the replicate

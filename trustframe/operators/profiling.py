@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trustframe.functions.arrays import dot, pack
+from trustframe.functions.arrays import pack
 from trustframe.operators.storage import settle_small, with_row
 
 
@@ -129,5 +129,5 @@ def axis_table(model, k: int) -> list[list[float]]:
 
 __all__ = [
     "class_count", "class_distribution", "imbalance_ratio", "feature_inventory", "row_profile",
-    "feature_scores", "principal_axes", "pca_projection", "axis_table", "dot",
+    "feature_scores", "principal_axes", "pca_projection", "axis_table",
 ]
