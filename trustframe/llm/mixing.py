@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trustframe.operators.storage import settle
+
 #: Weights of the sources in code-point order, repeating, and the two limits.
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, LIMIT = 1.5, 2.0
@@ -47,11 +49,11 @@ def mix_counts(docs: DataFrame, seed: str = "mix", weights: tuple = WEIGHTS, sha
     ``copies`` is floor(rate) plus one with probability equal to the fraction, drawn from md5(seed | doc_id), so
     reruns and repeated tasks agree; rows of one doc_id share their draw. Null doc_id draws as "null".
     An empty table gives an empty result. Sizes are added up map-side, one row per source and task is
-    shuffled; the table of sources is joined back by source, broadcast by Spark only while small.
+    shuffled; the written table of sources is joined back by source, so Spark knows its size and broadcasts it while small.
     """
     sized = docs.withColumn("size", word_count(F.col("text")))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights, share, limit).withColumnRenamed("source", "_source")
+    targets = settle(source_targets(sizes, weights, share, limit).withColumnRenamed("source", "_source"), "targets")
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     drawn = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     unit = F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
