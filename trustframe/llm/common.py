@@ -79,57 +79,71 @@ def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - before, lengths)
 
 
+#: 1: ASCII letters, 2: other visible ASCII characters but digits and the apostrophe, which may begin a contraction.
+_SIDE = np.zeros(256, np.uint8)
+_SIDE[33:127] = 2
+_SIDE[[39, *range(48, 58)]] = 0
+_SIDE[[*range(65, 91), *range(97, 123)]] = 1
+
+
 class Encoder:
     """Token ids of whole texts, by pieces that are encoded once.
 
-    A text is cut before a space or line feed that follows a visible ASCII character. No token of the
-    tokenizers used here spans such a place (their patterns let white space stand only at the start of
-    a token, and no normal form joins across it), so the pieces' ids in a row are the text's ids.
-    Up to ``limit`` short pieces stay known to the worker process.
+    A text is cut before a space or line feed that follows a visible ASCII character, and between an ASCII letter and
+    a visible ASCII character that is no letter, digit or apostrophe. No token of the tokenizers used here spans such a place (their
+    patterns let white space stand only at the start of a token and part letters from punctuation, and no
+    normal form joins across it), so the pieces' ids in a row are the text's ids. Up to ``limit`` short pieces stay
+    known to the worker process; beyond that, those of the current batch do.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.lower = "Lowercase()" in repr(self.tokenizer.normalizer)
         self.limit = limit
-        self._clear()
-
-    def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.ends = np.zeros(1, np.int64)
 
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        coded = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False) if pieces else []
+        fresh = [e.ids for e in coded]
+        sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        return np.fromiter((t for ids in fresh for t in ids), np.uint32, int(sizes.sum())), sizes
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after another, and the number of ids of each row; ``end_id`` closes each row."""
+        if self.lower:
+            data = LOWER[data]
         gap = np.zeros(len(data), bool)
         if len(data) > 1:
-            gap[1:] = ((data[1:] == 32) | (data[1:] == 10)) & (data[:-1] > 32) & (data[:-1] < 127)
+            last, side = data[:-1], _SIDE[data]
+            gap[1:] = ((data[1:] == 32) | (data[1:] == 10)) & (last > 32) & (last < 127)
+            gap[1:] |= (side[1:] + side[:-1] == 3)
         gap[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(gap)
         rows = np.searchsorted(offsets, starts, "right") - 1
         which, pieces = distinct_words(data, np.append(starts, len(data)))
-        if len(self.known) > self.limit:
-            self._clear()
         found = [self.known.get(p, -1) for p in pieces]
         new = [i for i, k in enumerate(found) if k < 0]
-        coded = self.tokenizer.encode_batch_fast([pieces[i].decode() for i in new], add_special_tokens=False) if new else []
-        fresh = [e.ids for e in coded]
+        flat, sizes = self._encode([pieces[i] for i in new])
         base = len(self.ends) - 1
         for n, i in enumerate(new):
             found[i] = base + n
-        sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
-        flat = np.fromiter((t for ids in fresh for t in ids), np.uint32, int(sizes.sum()))
-        ids, ends = np.concatenate([self.ids, flat]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-        if len(new) + base < 4 * self.limit:
-            self.ids, self.ends = ids, ends
-            self.known.update((pieces[i], found[i]) for i in new if len(pieces[i]) <= 32)
-        row_of = np.asarray(found, np.int64)[which] if len(which) else np.zeros(0, np.int64)
-        length = (ends[1:] - ends[:-1])[row_of] if len(row_of) else np.zeros(0, np.int64)
+        self.known.update((pieces[i], found[i]) for i in new if len(pieces[i]) <= 32)
+        self.ids, self.ends = np.concatenate([self.ids, flat]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        entry = np.asarray(found, np.int64)
+        length = np.diff(self.ends)[entry][which] if len(which) else np.zeros(0, np.int64)
         counts = np.bincount(rows, weights=length, minlength=len(offsets) - 1).astype(np.int64)
-        out = ids[runs(ends[row_of], length)] if len(row_of) else np.zeros(0, np.uint32)
+        out = self.ids[runs(self.ends[entry[which]], length)] if len(which) else np.zeros(0, np.uint32)
+        if len(self.ends) > self.limit:
+            sizes = np.diff(self.ends)[entry]
+            self.ids = self.ids[runs(self.ends[entry], sizes)]
+            self.ends = np.append(0, np.cumsum(sizes))
+            self.known = {p: i for i, p in enumerate(pieces) if len(p) <= 32}
         if end_id is None:
             return out, counts
         return np.insert(out, np.cumsum(counts), np.uint32(end_id)), counts + 1
