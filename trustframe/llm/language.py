@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trustframe.llm.common import distinct_words, slices, split_words, text_bytes
+from trustframe.operators.storage import settle
 
 #: Longest run of bytes that the network reads from a fresh state; longer words are cut.
 SPAN = 48
@@ -172,7 +173,7 @@ def training_words(docs: DataFrame, per_lang: int = 3000, words_per_lang: int =
     """
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
     unit = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "_lang")
+    sizes = settle(labelled.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "_lang"), "langs")
     near = labelled.join(sizes, F.col("lang") == F.col("_lang")).where(unit < F.lit(float(per_lang)) / F.col("n")).select("text", "lang")
 
     def count(batches):
@@ -188,8 +189,8 @@ def training_words(docs: DataFrame, per_lang: int = 3000, words_per_lang: int =
                     ["lang", "word", "n"],
                 )
 
-    counted = near.mapInArrow(count, "lang string, word binary, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    types = counted.groupBy("lang").agg(F.count("*").alias("types")).withColumnRenamed("lang", "_lang")
+    counted = settle(near.mapInArrow(count, "lang string, word binary, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    types = settle(counted.groupBy("lang").agg(F.count("*").alias("types")).withColumnRenamed("lang", "_lang"), "types")
     drawn = F.pmod(F.xxhash64("word"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     kept = counted.join(types, F.col("lang") == F.col("_lang")).where((drawn < F.lit(float(words_per_lang)) / F.col("types")) | (F.col("n") > 200))
     return kept.select("lang", "word", "n")
