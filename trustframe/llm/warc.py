@@ -71,7 +71,7 @@ def resolve_revisits(records: DataFrame, bins: int = 256) -> DataFrame:
     near = rows.where(known).withColumn("within", F.last("full", ignorenulls=True).over(order)).where("revisit")
     lost = rows.where(F.col("revisit") & ~known).withColumn("within", F.lit(None).cast(rows.schema["full"].dataType))
     found = near.unionByName(lost.select(near.columns)).join(carried, ["canonical_url", "bin"], "left")
-    found = found.withColumn("hit", F.coalesce("within", "earlier"))
+    found = found.withColumn("hit", F.when(known, F.coalesce("within", "earlier")))
     tag = lambda h: F.regexp_replace(F.trim(h["etag"]), "^W/", "")
     date = lambda h: F.trim(h["last-modified"])
     mine, theirs = F.col("headers"), F.col("hit.headers")
