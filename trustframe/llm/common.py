@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import os
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ WORD_BYTES[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that a task turns into arrays at a time; a longer text is taken whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +97,7 @@ class Encoder:
     known to the worker process; beyond that, those of the current batch do.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -149,14 +150,22 @@ class Encoder:
         return np.insert(out, np.cumsum(counts), np.uint32(end_id)), counts + 1
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What ``make`` built for ``key`` in this worker process; another key's goes first, so one operator's cache is held at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def encoder(path: str) -> Encoder:
     """The encoder of this worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def tokenizer_path(name: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trustframe.llm.common import distinct_words, slices, split_words, text_bytes
+from trustframe.llm.common import distinct_words, held, slices, split_words, text_bytes
 from trustframe.operators.storage import settle
 
 #: Longest run of bytes that the network reads from a fresh state; longer words are cut.
@@ -212,21 +212,22 @@ def fit_tagger(docs: DataFrame, hidden: int = 16, epochs: int = 6, **sample) ->
     return tagger
 
 
-_KNOWN: dict = {}
+#: Words that stay known to a worker process.
+KNOWN = 100_000
 
 
 def _pooled(tagger: ByteTagger, key: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sums of log probabilities over all bytes of each text, and its bytes. Words stay known to the worker process."""
-    if key not in _KNOWN or len(_KNOWN[key][0]) > 400_000:
-        _KNOWN.clear()
-        _KNOWN[key] = ({}, np.zeros((0, len(tagger.langs)), np.float32))
-    known, table = _KNOWN[key]
+    cache = held(("words", key), lambda: {"known": {}, "table": np.zeros((0, len(tagger.langs)), np.float32)})
+    if len(cache["known"]) > KNOWN:
+        cache.update(known={}, table=cache["table"][:0])
+    known, table = cache["known"], cache["table"]
     marked, ends, rows = spans(*text_bytes(column))
     which, words = distinct_words(marked, ends)
     new = [w for w in words if w not in known]
     known.update(zip(new, range(len(table), len(table) + len(new))))
     table = np.concatenate([table, tagger.word_scores(new)]) if new else table
-    _KNOWN[key] = (known, table)
+    cache["table"] = table
     n = len(column)
     if not len(which):
         return np.zeros((n, len(tagger.langs))), np.zeros(n)

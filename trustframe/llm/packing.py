@@ -13,7 +13,7 @@ from trustframe.llm.common import encoder, parts_for, slices, text_bytes, text_v
 
 WINDOW = 2048
 #: Ids of a shard, query terms of a seed, and neighbours looked at before all are ranked.
-SHARD_IDS, TERMS, FIRST = 2 << 20, 24, 64
+SHARD_IDS, TERMS, FIRST = 1 << 20, 24, 64
 K1, B = 1.2, 0.75
 
 
