@@ -307,7 +307,7 @@ def _regression(spark, folder):
 
 
 @query(with_(STATUS, REG, "g AS (SELECT id, 1 + " + hash_sql("1410", "'guess'", "0", "id") + " % 49 AS q FROM (SELECT unnest(range(1000)) AS id))",
-  select="SELECT CAST(min(q) AS DOUBLE) AS x, round((SELECT a FROM w) + (SELECT b FROM w) * min(q), 3) AS y_hat FROM g"))
+  select="SELECT CAST(q AS DOUBLE) AS x, round(a + b * q, 3) AS y_hat FROM g, w ORDER BY a + b * q, id LIMIT 1"))
 def monte_carlo_min(spark, folder):
     rows, model = _regression(spark, folder)
     found = regression.monte_carlo_min(rows, model, [(1, 50)], 1000)

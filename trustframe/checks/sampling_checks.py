@@ -193,7 +193,7 @@ def _weighted_sql(worst: bool) -> str:
     return with_(POINTS, """imp AS (SELECT i - 1 AS feature, var_pop(x[i]) AS v FROM vectors, (SELECT unnest(range(1, 65)) AS i) GROUP BY i)""",
       """p AS (SELECT feature, (v - m) / sum(v - m) OVER () AS p FROM (SELECT *, min(v) OVER () AS m FROM imp))""" + (worse if worst else ""),
       f"""cum AS (SELECT feature, sum(p) OVER (ORDER BY feature) AS hi FROM {last})""",
-      f"""draws AS (SELECT member, s AS slot, {hash_sql('1410', "'wsub'", 'member', 's')} / 4294967296.0 AS u FROM
+      f"""draws AS (SELECT member, s AS slot, {hash_sql('1410', "'wsub'", 'member', 's')} / CAST(1152921504606846976 AS DOUBLE) AS u FROM
         (SELECT unnest(range(20)) AS member), (SELECT unnest(range(2)) AS s))""",
       select="""SELECT CAST(member AS INTEGER) AS member, CAST(slot AS INTEGER) AS slot,
         CAST(coalesce(min(feature) FILTER (u < hi), max(feature)) AS INTEGER) AS feature FROM draws, cum GROUP BY member, slot""")

@@ -106,7 +106,7 @@ POINTS = "vectors AS (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS x,
 
 
 def hash_sql(*parts: str) -> str:
-    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8) AS BIGINT)"
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15) AS BIGINT)"
 
 
 def with_(*ctes: str, select: str) -> str:

@@ -17,15 +17,15 @@ def key_md5(*parts: Column | str | int) -> Column:
 
 
 def hash_int(*parts: Column | str | int) -> Column:
-    """Uniform integer in [0, 2**32)."""
-    return F.conv(F.substring(key_md5(*parts), 1, 8), 16, 10).cast("bigint")
+    """Uniform integer in [0, 2**60)."""
+    return F.conv(F.substring(key_md5(*parts), 1, 15), 16, 10).cast("bigint")
 
 
 def hash_unit(*parts: Column | str | int) -> Column:
     """Uniform double in [0, 1)."""
-    return hash_int(*parts) / F.lit(4294967296.0)
+    return hash_int(*parts) / F.lit(float(1 << 60))
 
 
 def hash_below(n: Column | int, *parts: Column | str | int) -> Column:
     """Uniform integer in [0, n)."""
-    return F.pmod(hash_int(*parts), n if isinstance(n, Column) else F.lit(n)).cast("int")
+    return F.pmod(hash_int(*parts), n if isinstance(n, Column) else F.lit(n))

@@ -31,7 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
         return set_dir
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return _LOCAL_DIRS.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="trustframe-"))
+    if sc.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="trustframe-")
+    return _LOCAL_DIRS[sc.applicationId]
 
 
 def with_row(df: DataFrame, single: DataFrame) -> DataFrame:
