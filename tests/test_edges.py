@@ -7,12 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from trustframe.config import ReportConfig
-from trustframe.ensembles import undersampled
+from trustframe.ensembles import regression, undersampled
 from trustframe.functions.tails import normal_critical, t_two_sided, with_normal_p
-from trustframe.learners import NearestCentroid
+from trustframe.learners import Boosting, DecisionTree, NearestCentroid, Projected, RandomForest
 from trustframe.operators import cleaning, diversity, permuting, profiling, sampling, scoring, testing, transforming
 from trustframe.operators.neighbors import knn_classify
 from trustframe.plans import association, redundancy, similarity
+from trustframe.plans.evaluation import cv_predictions
 from trustframe.plans.report import catalogue_report, clean, dataset_report
 from trustframe.sources import features as sources
 from trustframe.sources import sinks
@@ -235,7 +236,7 @@ def test_dataset_collection(spark, tmp_path):
         lines = [f"{i}.0,{i % 7}.5,{i % classes}" for i in range(30)]
         (tmp_path / f"{name}.csv").write_text("\n".join(lines))
     (tmp_path / "not a dataset!.csv").write_text("1.0,2.0,0")
-    loaded = sources.load_collection(spark, str(tmp_path), 3)
+    loaded = sources.load_collection(spark, str(tmp_path))
     found = {r["dataset"]: (r["rows"], r["features"], r["classes"]) for r in sources.dataset_catalogue(loaded).collect()}
     assert found == {"one": (30, 2, 2), "two": (30, 2, 3)}
     assert sources.select_datasets(loaded, ["two"]).count() == 30
@@ -244,6 +245,62 @@ def test_dataset_collection(spark, tmp_path):
         sources.select_datasets(loaded, ("some", ["binary"]))
 
 
+def test_collection_of_other_widths(spark, tmp_path):
+    (tmp_path / "three.csv").write_text("1,2,3,1\n\n4,oops,6,0\n")
+    (tmp_path / "two.csv").write_text("1.5, 2.5, 1\n")
+    (tmp_path / "parts.csv").mkdir()
+    (tmp_path / "parts.csv" / "part-0.csv").write_text("7,1\n")
+    loaded = sources.load_collection(spark, str(tmp_path))
+    found = sorted((r["dataset"], r["x"], r["y"]) for r in loaded.orderBy("dataset", "y").collect())
+    assert found == [("parts", [7.0], 1), ("three", [1.0, 2.0, 3.0], 1), ("three", [4.0, None, 6.0], 0), ("two", [1.5, 2.5], 1)]
+    (tmp_path / "two.csv").write_text("1,2,1\n1,2,3,1\n")
+    with pytest.raises(ValueError, match="two has rows of 3 to 4 columns"):
+        sources.load_collection(spark, str(tmp_path))
+
+
+def test_trees_without_a_split(spark):
+    """Constant features or a single class: every row gets the shares of the classes."""
+    flat = spark.createDataFrame([(i, [1.0, 2.0], int(i < 3), 0) for i in range(10)], "row_id int, x array<double>, y int, k int")
+    pure = flat.withColumns({"x": F.array(F.col("row_id").cast("double"), F.lit(2.0)), "y": F.lit(0)})
+    for rows, others in ((flat, False), (pure, True)):
+        for learner in (DecisionTree(), RandomForest(trees=2), Boosting(rounds=2)):
+            supports = learner.supports(rows, learner.fit(rows, ["k"], 2, 2), ["k"]).select("supports").distinct().collect()
+            assert len(supports) == 1 or others
+            assert all(len(r["supports"]) == 2 for r in supports)
+
+
+def test_bins_of_each_replicate(spark):
+    """A member whose features have another scale does not move the cuts of the others."""
+    rows = spark.range(1000).select(
+        F.col("id").alias("row_id"), F.array(F.col("id") / 1000.0).alias("x"), (F.col("id") >= 500).cast("int").alias("y"), F.lit(0).alias("k")
+    )
+    large = rows.withColumns({"x": F.array(F.pmod(F.col("row_id") * 7, F.lit(1000)) * 1e6), "k": F.lit(1)})
+    learner = DecisionTree(depth=1)
+
+    def right(train):
+        found = learner.predict(rows, learner.fit(train, ["k"], 1, 2), ["k"])
+        return one(found.agg(F.avg((F.col("y") == F.col("y_pred")).cast("double")).alias("a")))["a"]
+
+    assert right(rows.unionByName(large)) == right(rows) > 0.98
+
+
+def test_projected_tree_beside_a_tree(spark):
+    rows = spark.range(200).select(
+        F.lit("d").alias("dataset"), F.col("id").alias("row_id"), F.array(F.lit(0.0), (F.col("id") % 2) * 1e6).alias("x"),
+        (F.col("id") % 2).cast("int").alias("y"), F.pmod(F.floor(F.col("id") / 2), F.lit(2)).cast("int").alias("fold"),
+    )
+    found = cv_predictions(rows, {"all": DecisionTree(depth=1), "second": Projected(DecisionTree(depth=1), [1])}, 2, 2, 2)
+    assert found.count() == 400 and found.where("y_true <> y_pred").count() == 0
+
+
+def test_collinear_regression(spark):
+    rows = spark.range(50).select(
+        F.col("id").alias("row_id"), F.array(F.col("id") * 1.0, F.col("id") * 2.0).alias("x"), (F.col("id") * 3.0 + 1).alias("y")
+    )
+    found = regression.predict(rows, regression.fit_folds(rows, 2))
+    assert one(found.agg(F.max(F.abs(F.col("y_hat") - F.col("y"))).alias("e")))["e"] < 1e-6
+
+
 def test_prediction_store(spark, tmp_path):
     rows = spark.createDataFrame([("d", i, [float(i)], i % 2) for i in range(10)], "dataset string, row_id int, x array<double>, y int")
     prints = sinks.data_fingerprint(rows, ["dataset"])

@@ -294,21 +294,18 @@ def dataset_select_names(spark, folder):
     return _counted(sources.select_datasets(collection(spark, folder), ["ASIA", "EUROPE"]))
 
 
-@query(with_(COLLECTION, select="""SELECT dataset, count(*) AS rows, 4 AS features, count(DISTINCT y) AS classes
+@query(with_(COLLECTION, select="""SELECT dataset, count(*) AS rows, CAST(length(dataset) AS INTEGER) AS features, count(DISTINCT y) AS classes
   FROM collection GROUP BY dataset"""))
 def dataset_catalogue(spark, folder):
     """Writes the collection as one CSV folder per dataset file name and loads it back."""
     root = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
-    rows = collection(spark, folder).select("dataset", *[F.get("x", F.lit(i)).alias(f"c{i}") for i in range(4)], "y")
-    names = [r["dataset"] for r in rows.select("dataset").distinct().collect()]  # a handful of regions
-    parts = []
-    for name in names:
-        rows.where(F.col("dataset") == name).drop("dataset").write.csv(f"{root}/{name}.csv")
-        parts.append(sources.load_collection(spark, f"{root}/{name}.csv", 5).withColumn("dataset", F.lit(name)))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return sources.dataset_catalogue(every)
+    rows = settle(collection(spark, folder), "collection")
+    for name in [r["dataset"] for r in rows.select("dataset").distinct().collect()]:  # a handful of regions
+        # from region to region another width: the first features once more
+        one = rows.where(F.col("dataset") == name).select(*[F.get("x", F.lit(i % 4)).alias(f"c{i}") for i in range(len(name))], "y")
+        one.write.csv(f"{root}/{name.replace(' ', '_')}.csv")
+    found = sources.dataset_catalogue(sources.load_collection(spark, root))
+    return found.withColumn("dataset", F.translate("dataset", "_", " "))
 
 
 @query()

@@ -47,7 +47,8 @@ class Projected(Learner):
         return F.array(*[F.get(x, F.lit(i)) for i in self.features])
 
     def fit(self, train: DataFrame, keys: Sequence[str], dim: int, n_classes: int) -> DataFrame:
-        return self.learner.fit(train.withColumn("x", self._seen(F.col("x"))), keys, len(self.features), n_classes)
+        seen = train.withColumn("x", self._seen(F.col("x"))).drop("b")  # bins belong to the unprojected features
+        return self.learner.fit(seen, keys, len(self.features), n_classes)
 
     def score_classes(self, x: Column, model: Fields = F.col) -> Column:
         return self.learner.score_classes(self._seen(x), model)

@@ -24,11 +24,14 @@ from trustframe.operators.storage import settle, settle_small, with_row
 Score = Callable[[list[Column]], Column]
 
 
-def bin_edges(rows: DataFrame, dim: int, bins: int) -> DataFrame:
-    """One row: ascending distinct approximate quantiles of every feature."""
+def bin_edges(rows: DataFrame, dim: int, bins: int, groups: Sequence[str] = ()) -> DataFrame:
+    """One row per group: ascending distinct approximate quantiles of every feature.
+
+    Groups whose ``x`` holds other features or another dataset need edges of their own.
+    """
     cuts = F.array(*[F.lit(i / bins) for i in range(1, bins)])
     return settle_small(
-        rows.agg(
+        rows.groupBy(*groups).agg(
             F.array(
                 *[F.array_distinct(F.percentile_approx(F.get("x", F.lit(i)), cuts, 2000)) for i in range(dim)]
             ).alias("edges")
@@ -40,19 +43,27 @@ def bin_edges(rows: DataFrame, dim: int, bins: int) -> DataFrame:
 def add_bins(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """Adds ``b``: per feature the number of edges below the value."""
     binned = F.zip_with("x", "edges", lambda v, e: F.size(F.filter(e, lambda t: t < v)))
-    return with_row(rows, edges).withColumn("b", binned).drop("edges")
+    groups = _edge_groups(edges)
+    carried = rows.join(edges, groups) if groups else with_row(rows, edges)
+    return carried.withColumn("b", binned).drop("edges")
+
 
+def _edge_groups(edges: DataFrame) -> list[str]:
+    return [c for c in edges.columns if c != "edges"]
 
-def prepared(rows: DataFrame, learners: Iterable[Learner], dim: int) -> DataFrame:
+
+def prepared(rows: DataFrame, learners: Iterable[Learner], dim: int, groups: Sequence[str] = ()) -> DataFrame:
     """Bins the rows once, before they are copied per replicate, if a learner needs bins.
 
+    ``groups`` tell rows apart whose features differ; each group has its own edges.
+
     The binned rows are settled: a computed ``b`` would be computed again at every step
     down a tree.
     """
     trees = [m for m in learners if m.needs_bins]
     if not trees or "b" in rows.columns:
         return rows
-    edges = bin_edges(rows, dim, max(m.bins for m in trees))
+    edges = bin_edges(rows, dim, max(m.bins for m in trees), groups)
     for m in trees:
         m.edges = edges
     return settle(add_bins(rows, edges), "binned")
@@ -142,8 +153,10 @@ def _split_maps(nodes: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 def tree_models(nodes: DataFrame, edges: DataFrame, groups: Sequence[str], leaf: Callable[[Column], Column]) -> DataFrame:
     """(groups, splits: node -> (f, threshold), values: node -> leaf value)."""
-    limits = edges.scalar()
-    threshold = F.get(F.get(limits, F.col("f")), F.col("t"))
+    apart = _edge_groups(edges)
+    if apart:
+        nodes = nodes.join(edges, apart)
+    threshold = F.get(F.get(F.col("edges") if apart else edges.scalar(), F.col("f")), F.col("t"))
     values = F.array(
         F.struct((2 * F.col("node")).alias("k"), leaf(F.col("left")).alias("v")),
         F.struct((2 * F.col("node") + 1).alias("k"), leaf(F.col("right")).alias("v")),
@@ -195,7 +208,7 @@ class DecisionTree(Learner):
         return train.withColumn("tree", F.lit(0)).withColumn("_w", weight(train))
 
     def fit(self, train: DataFrame, keys: Sequence[str], dim: int, n_classes: int) -> DataFrame:
-        train = prepared(train, [self], dim)
+        train = prepared(train, [self], dim, keys)
         rows = self._members(train, keys).where(F.col("_w") > 0)
         stats = [f"s{c}" for c in range(n_classes)]
         rows = rows.select(
@@ -269,7 +282,7 @@ class Boosting(Learner):
 
     def fit(self, train: DataFrame, keys: Sequence[str], dim: int, n_classes: int) -> DataFrame:
         keys = list(keys)
-        train = prepared(train, [self], dim)
+        train = prepared(train, [self], dim, keys)
         rows = train.withColumn("_w", weight(train))
         rows = rows.withColumn("margin", F.array(*[F.lit(0.0)] * n_classes))
         rows = settle(rows.select(*keys, "x", "b", "y", "_w", "margin"), "margins")
@@ -285,14 +298,14 @@ class Boosting(Learner):
                 (F.col("_w") * F.col("p.support") * (1 - F.col("p.support"))).alias("h"),
             )
             nodes = grow(graded, groups, ["g", "h"], self._score, self.depth, dim)
-            if nodes.isEmpty():
-                break
-            trees = settle(
+            grown = (
                 tree_models(nodes, self.edges, groups, self._leaf)
                 .groupBy(*keys)
-                .agg(F.collect_list(F.struct("cls", "splits", "leaves")).alias("trees")),
-                "trees",
+                .agg(F.collect_list(F.struct("cls", "splits", "leaves")).alias("trees"))
             )
+            if nodes.isEmpty():
+                break
+            trees = settle(grown, "trees")
             parts.append(trees.withColumn("turn", F.lit(turn)))
             if turn + 1 < self.rounds:
                 stepped = rows.join(trees, keys, "left").withColumn(
@@ -301,9 +314,8 @@ class Boosting(Learner):
                 rows = settle(stepped.drop("trees"), "margins")
         base = train.select(*keys).distinct()
         zero = F.array(*[F.lit(0.0)] * n_classes)
-        if not parts:
-            schema_trees = settle(base.withColumn("zero", zero), "boost")
-            return schema_trees.withColumn("trees", F.lit(None))
+        if not parts:  # no feature splits any class
+            return settle(base.withColumn("trees", F.lit(None).cast(grown.schema["trees"].dataType)).withColumn("zero", zero), "boost")
         every = reduce(DataFrame.unionByName, parts)
         packed = every.groupBy(*keys).agg(F.flatten(F.collect_list("trees")).alias("trees"))
         return settle(base.join(packed, keys, "left").withColumn("zero", zero), "boost")

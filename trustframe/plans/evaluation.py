@@ -32,8 +32,8 @@ def cv_predictions(
     Every learner trains all (keys, fold) replicates in one job; a row is predicted by
     the model of its own fold.
     """
+    rows = prepared(rows, learners.values(), dim, keys)
     keys = [*keys, "fold"]
-    rows = prepared(rows, learners.values(), dim)
     parts = []
     for name, learner in learners.items():
         model = learner.fit(training_folds(rows, k), keys, dim, n_classes)

@@ -33,6 +33,10 @@ def _vectors(sample: DataFrame, features: Sequence[str], scale: bool) -> tuple[D
     return rows, rows.agg(F.max("y")).first()[0] + 1
 
 
+def _labelled(sample: DataFrame, features: Sequence[str]) -> DataFrame:
+    return sample.select("row_id", F.col("label").cast("string").alias("label"), pack(features).alias("x"))
+
+
 def redundancy_metric(sample: DataFrame, features: Sequence[str], config: ReportConfig) -> DataFrame:
     rows, classes = _vectors(sample, features, scale=False)
     results, _ = redundancy(rows, _learners(classes > 2), len(features), classes, seed=config.seed)
@@ -45,15 +49,20 @@ def association_metric(sample: DataFrame, features: Sequence[str], config: Repor
 
 
 def similarity_metric(sample: DataFrame, features: Sequence[str], config: ReportConfig) -> DataFrame:
-    rows = sample.select("row_id", F.col("label").cast("string").alias("label"), pack(features).alias("x"))
-    fit = similarity_ae if len(features) >= 8 else similarity_pca
-    return fit(rows, len(features))[1]
+    """Reconstruction by the trained network, whatever the number of features; below 4 it has no latent layer and raises."""
+    return similarity_ae(_labelled(sample, features), len(features), seed=config.seed)[1]
+
+
+def similarity_pca_metric(sample: DataFrame, features: Sequence[str], config: ReportConfig) -> DataFrame:
+    """Reconstruction by principal axes."""
+    return similarity_pca(_labelled(sample, features), len(features))[1]
 
 
 METRICS: dict[str, Metric] = {
     "redundancy": redundancy_metric,
     "association": association_metric,
     "similarity": similarity_metric,
+    "similarity_pca": similarity_pca_metric,
 }
 
 

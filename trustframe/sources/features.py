@@ -13,7 +13,7 @@ from trustframe.functions.hashing import hash_unit
 from trustframe.operators.cleaning import nan_to_null
 from trustframe.operators.storage import settle, settle_small
 
-FILE_NAME = r"([a-zA-Z0-9\-_]+)\.csv$"  # accepted file names (fixed pattern)
+FILE_NAME = r"([a-zA-Z0-9\-_]+)\.csv(?:/[^/]*)?$"  # accepted file names (fixed pattern); the same for a folder of parts
 
 
 def load_features(
@@ -39,21 +39,30 @@ def load_features(
     return df.select("row_id", *features, "label")
 
 
-def load_collection(spark: SparkSession, folder: str, columns: int) -> DataFrame:
-    """(dataset, row_id, x, y) from a folder of headerless numeric CSVs of ``columns``
-    columns, label last; the file name is the dataset name."""
-    schema = ", ".join(f"c{i} double" for i in range(columns))
-    raw = spark.read.schema(schema).option("pathGlobFilter", "*.csv").csv(folder)
-    named = raw.withColumn("dataset", F.regexp_extract(F.input_file_name(), FILE_NAME, 1)).where("dataset <> ''")
-    return settle(
-        named.select(
+def load_collection(spark: SparkSession, folder: str, delimiter: str = ",") -> DataFrame:
+    """(dataset, row_id, x, y) from a folder of headerless numeric CSVs, label last.
+
+    A dataset is a file ``name.csv`` or a folder ``name.csv`` of parts, and has its own number of
+    columns; rows of unequal length inside one raise ValueError. Blank lines are left out, a field that is no number is NULL.
+    """
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(f"{folder.rstrip('/')}/*.csv")
+    named = lines.withColumn("dataset", F.regexp_extract(F.input_file_name(), FILE_NAME, 1)).where("dataset <> '' AND trim(value) <> ''")
+    parts = F.split(F.trim("value"), "\\Q" + delimiter + "\\E")
+    values = named.select("dataset", F.transform(parts, lambda v: F.trim(v).try_cast("double")).alias("v"))
+    rows = settle(
+        values.select(
             "dataset",
             F.monotonically_increasing_id().alias("row_id"),
-            pack([f"c{i}" for i in range(columns - 1)]).alias("x"),
-            F.col(f"c{columns - 1}").cast("int").alias("y"),
+            F.slice("v", F.lit(1), F.size("v") - 1).alias("x"),
+            F.element_at("v", -1).cast("int").alias("y"),
         ),
         "collection",
     )
+    widths = rows.groupBy("dataset").agg(F.min(F.size("x")).alias("low"), F.max(F.size("x")).alias("high"))
+    uneven = widths.where("low < high").orderBy("dataset").first()
+    if uneven is not None:
+        raise ValueError(f"{uneven['dataset']} has rows of {uneven['low'] + 1} to {uneven['high'] + 1} columns")
+    return rows
 
 
 def dataset_catalogue(collection: DataFrame) -> DataFrame:
