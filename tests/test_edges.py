@@ -207,6 +207,18 @@ def test_similarity_corners(spark):
     assert similarity.hidden_sizes(42) == (16, 8) and similarity.hidden_sizes(79) == (32, 16)
 
 
+def test_network_beats_the_mean(spark):
+    """Two groups of correlated features: the trained network rebuilds the base class far better than its mean does."""
+    t = F.pmod(F.col("id") * 37, F.lit(401)) / 400.0
+    x = F.array(*[t] * 8, *[1.0 - t] * 8)
+    rows = spark.range(1500).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 < 2, "base").otherwise("other").alias("label"), x.alias("x"))
+    l1 = {
+        name: {r["label"]: r["l1"] for r in fit(rows, 16)[0].collect()}["base"]
+        for name, fit in (("mean", similarity.similarity_mean), ("network", similarity.similarity_ae))
+    }
+    assert l1["network"] < 0.6 * l1["mean"]
+
+
 def test_diversity_corners(spark):
     rows = [(i, m, 1, 1) for i in range(4) for m in "ab"]
     right = spark.createDataFrame(rows, "row_id int, model string, y_true int, y_pred int")

@@ -195,4 +195,4 @@ def similarity_pca(spark, folder):
 
 @query()
 def similarity_ae(spark, folder):
-    return sim.similarity_ae(_labelled(spark, folder), 64, epochs=5)[1]
+    return sim.similarity_ae(_labelled(spark, folder), 64)[1]

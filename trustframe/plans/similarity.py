@@ -17,10 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustframe.functions.arrays import total
-from trustframe.functions.hashing import hash_unit
+from trustframe.functions.hashing import hash_below, hash_int, hash_unit
 from trustframe.operators.storage import settle, settle_small, with_row
 from trustframe.operators.transforming import minmax_vectors
 
+#: Rows of a mini-batch of the network (fixed default), and rows of a piece that is trained in one task.
+STEP_ROWS, PIECE_ROWS = 32, 50_000
+
 
 def majority_class(rows: DataFrame, label: str = "label") -> str:
     """Largest class, smallest label on ties."""
@@ -125,47 +128,51 @@ def similarity_ae(
 ) -> tuple[DataFrame, DataFrame]:
     """Autoencoder with ReLU layers and sigmoid output, trained on 80 % of the base class.
 
-    One epoch is one job: every partition sums the gradient of its rows, the sums are
-    added, and the driver takes an Adam step on the few weights.
+    One epoch is one job. Its rows are dealt by hash into pieces of about ``PIECE_ROWS`` rows; each piece takes Adam
+    steps on mini-batches of ``STEP_ROWS`` from the common weights, and weights and moments are then averaged by rows.
+    So a class that fits into one piece is trained as on one machine. All base rows of the share are used in every epoch.
+    Up to about 8 features the hidden layers have so few units that some seeds (1410 with 8 features among them) start with all
+    of them inactive; the network then stays at the base mean.
     """
     rows = settle(minmax_vectors(rows.withColumn("label", F.col("label").cast("string"))), "scaled")
     base = base or majority_class(rows)
+    chosen = rows.where((F.col("label") == base) & (hash_unit(seed, "ae", F.col("row_id")) < 0.8))
+    pieces = max(1, math.ceil(chosen.count() / PIECE_ROWS))
     train = settle(
-        rows.where((F.col("label") == base) & (hash_unit(seed, "ae", F.col("row_id")) < 0.8)).select("x"), "train"
+        chosen.select("x", hash_int(seed, "order", F.col("row_id")).alias("at"), hash_below(pieces, seed, "piece", F.col("row_id")).alias("piece")),
+        "train",
     )
-    params = _init(dim, seed)
-    m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    size = sum(p.size for p in params)
-    for epoch in range(1, epochs + 1):
-        weights = params
-
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums, n = np.zeros(size), 0
-            for batch in batches:
-                if len(batch):
-                    x = np.array(batch["x"].tolist(), dtype=float)
-                    sums += np.concatenate([g.ravel() for g in _gradients(weights, x)])
-                    n += len(batch)
-            yield pd.DataFrame({"pos": np.arange(size), "g": sums, "n": n})
-
-        parts = train.mapInPandas(partial, "pos int, g double, n bigint")
-        summed = parts.groupBy("pos").agg(F.sum("g").alias("g"), F.sum("n").alias("n")).collect()
-        flat, n = np.zeros(size), 0
-        for r in summed:  # one number per weight
-            flat[r["pos"]], n = r["g"], r["n"]
-        if not n:
+    start = _init(dim, seed)
+    shapes = [p.shape for p in start]
+    flat = np.concatenate([p.ravel() for p in start])
+    size, steps = flat.size, 0
+    state = np.concatenate([flat, np.zeros(2 * size)])  # weights and both moments
+
+    def shaped(values: np.ndarray) -> list[np.ndarray]:
+        cuts = np.cumsum([math.prod(s) for s in shapes])[:-1]
+        return [p.reshape(s) for p, s in zip(np.split(values, cuts), shapes)]
+
+    for epoch in range(epochs):
+        common, taken = state, steps
+
+        def descend(part: pd.DataFrame) -> pd.DataFrame:
+            w, m, v = np.split(common.copy(), 3)
+            x = np.array(part.sort_values("at")["x"].tolist(), dtype=float)
+            x = x[np.random.default_rng([seed, epoch, int(part["piece"].iloc[0])]).permutation(len(x))]
+            for t, at in enumerate(range(0, len(x), STEP_ROWS), taken + 1):
+                batch = x[at : at + STEP_ROWS]
+                g = np.concatenate([g.ravel() for g in _gradients(shaped(w), batch)]) / len(batch)
+                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+                w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            return pd.DataFrame({"pos": np.arange(3 * size), "v": np.concatenate([w, m, v]) * len(x), "n": len(x)})
+
+        parts = train.groupBy("piece").applyInPandas(descend, "pos int, v double, n bigint")
+        found = parts.groupBy("pos").agg((F.sum("v") / F.sum("n")).alias("v"), F.max("n").alias("n")).toPandas()  # one row per number of the state
+        if not len(found):
             break
-        at, grads = 0, []
-        for p in params:
-            grads.append(flat[at : at + p.size].reshape(p.shape) / n)
-            at += p.size
-        m = [0.9 * a + 0.1 * g for a, g in zip(m, grads)]
-        v = [0.999 * a + 0.001 * g * g for a, g in zip(v, grads)]
-        params = [
-            p - rate * (a / (1 - 0.9**epoch)) / (np.sqrt(b / (1 - 0.999**epoch)) + 1e-8)
-            for p, a, b in zip(params, m, v)
-        ]
-    final = params
+        state = found.sort_values("pos")["v"].to_numpy()
+        steps += math.ceil(int(found["n"].iloc[0]) / STEP_ROWS)
+    final = shaped(state[:size])
 
     def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
