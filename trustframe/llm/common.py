@@ -6,6 +6,7 @@ import gc
 import math
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,13 @@ def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
+def binary_parts(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a large binary array."""
+    offsets = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset:pieces.offset + len(pieces) + 1] if len(pieces) else np.zeros(1, np.int64)
+    data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)
+    return data[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
 def split_words(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray = ~SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes and offsets of the words (longest runs of bytes in ``keep``), and the row of each word."""
     inside = keep[data]
@@ -87,17 +95,89 @@ _SIDE[[39, *range(48, 58)]] = 0
 _SIDE[[*range(65, 91), *range(97, 123)]] = 1
 
 
+_SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """``a`` with at least n rows; new ones are zero."""
+    return a if len(a) >= n else np.concatenate([a, np.zeros((max(n, 2 * len(a)) - len(a), *a.shape[1:]), a.dtype)])
+
+
+class KnownPieces:
+    """Exact numbers of pieces of up to 24 bytes, in open addressing: the keys are the pieces themselves, padded with zeros."""
+
+    WIDTH = 8 * len(_SPREAD)
+
+    def __init__(self, limit: int):
+        self.bits = max(4, (2 * limit - 1).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.keys = np.zeros((1024, len(_SPREAD)), np.uint64)
+
+    def keys_of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that can be known (short, without a zero byte), and their keys."""
+        sizes = np.diff(offsets)
+        zeros = np.append(0, np.cumsum(data == 0))
+        rows = np.flatnonzero((sizes <= self.WIDTH) & (zeros[offsets[1:]] == zeros[offsets[:-1]]))
+        out = np.zeros((len(rows), self.WIDTH), np.uint8)
+        inside = np.arange(self.WIDTH) < sizes[rows, None]
+        out[inside] = data[runs(offsets[:-1][rows], sizes[rows])]
+        return rows, out.view(np.uint64)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        mixed = (keys * _SPREAD).sum(1, dtype=np.uint64)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * _SPREAD[1]
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where it is not known."""
+        slot, found, todo = self._slot(keys), np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        while len(todo):
+            at = self.slots[slot[todo]]
+            todo, at = todo[at >= 0], at[at >= 0]
+            same = (self.keys[at] == keys[todo]).all(1)
+            found[todo[same]] = at[same]
+            todo = todo[~same]
+            slot[todo] = (slot[todo] + 1) & (len(self.slots) - 1)
+        return found
+
+    def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Distinct keys that are not known yet."""
+        if not len(keys):
+            return
+        while 2 * (int(numbers.max()) + 1) > len(self.slots):  # at most half full; only a very long text gets here
+            taken = self.slots[self.slots >= 0].astype(np.int64)
+            self.bits += 1
+            self.slots = np.full(1 << self.bits, -1, np.int32)
+            self._enter(self.keys[taken], taken)
+        self.keys = _room(self.keys, int(numbers.max()) + 1)
+        self.keys[numbers] = keys
+        self._enter(keys, numbers)
+
+    def _enter(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        slot, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            at = slot[todo]
+            free = self.slots[at] < 0
+            self.slots[at[free]] = numbers[todo[free]]
+            todo = todo[self.slots[at] != numbers[todo]]
+            slot[todo] = (slot[todo] + 1) & (len(self.slots) - 1)
+
+
 class Encoder:
     """Token ids of whole texts, by pieces that are encoded once.
 
     A text is cut before a space or line feed that follows a visible ASCII character, and between an ASCII letter and
     a visible ASCII character that is no letter, digit or apostrophe. No token of the tokenizers used here spans such a place (their
     patterns let white space stand only at the start of a token and part letters from punctuation, and no
-    normal form joins across it), so the pieces' ids in a row are the text's ids. Up to ``limit`` short pieces stay
-    known to the worker process; beyond that, those of the current batch do.
+    normal form joins across it), so the pieces' ids in a row are the text's ids. By the same rule new pieces that begin with such white
+    space and end in a visible ASCII character are encoded together, as one text, and told apart by the offsets of their tokens.
+    Up to ``limit`` pieces stay known to the worker process; a batch that would exceed it starts anew.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    #: Bytes of new pieces that are encoded as one text.
+    JOINED = 1 << 17
+
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -105,15 +185,53 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.lower = "Lowercase()" in repr(self.tokenizer.normalizer)
         self.limit = limit
-        self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.ends = np.zeros(1, np.int64)
-
-    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = KnownPieces(self.limit)
+        self.ids, self.starts, self.sizes = np.zeros(1024, np.uint32), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.count = self.n_ids = 0
+
+    def _remember(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Numbers of new pieces whose ids follow one another."""
+        n, end = self.count + len(sizes), self.n_ids + len(ids)
+        self.ids, self.starts, self.sizes = _room(self.ids, end), _room(self.starts, n), _room(self.sizes, n)
+        self.ids[self.n_ids:end] = ids
+        self.sizes[self.count:n] = sizes
+        self.starts[self.count:n] = self.n_ids + np.cumsum(sizes) - sizes
+        numbers = np.arange(self.count, n)
+        self.count, self.n_ids = n, end
+        return numbers
+
+    def _encode_each(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         coded = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False) if pieces else []
         fresh = [e.ids for e in coded]
         sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
-        return np.fromiter((t for ids in fresh for t in ids), np.uint32, int(sizes.sum())), sizes
+        return np.fromiter(chain.from_iterable(fresh), np.uint32, int(sizes.sum())), sizes
+
+    def _encode_joined(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        coded = self.tokenizer.encode(data.tobytes().decode(), add_special_tokens=False)
+        ids = np.array(coded.ids, np.uint32)
+        begins = np.fromiter(chain.from_iterable(coded.offsets), np.int64, 2 * len(ids))[::2]
+        letters = np.append(0, np.cumsum((data & 0xC0) != 0x80))  # offsets count characters
+        owner = np.searchsorted(letters[np.cumsum(sizes) - sizes], begins, "right") - 1
+        return ids, np.bincount(owner, minlength=len(sizes)).astype(np.int64)
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces at ``rows``, which are encoded now."""
+        numbers = np.zeros(len(rows), np.int64)
+        sizes = np.diff(offsets)[rows]
+        first, last = data[offsets[rows]], data[offsets[rows + 1] - 1]
+        together = ((first == 32) | (first == 10)) & (last > 32) & (last < 127)
+        joined, single = np.flatnonzero(together), np.flatnonzero(~together)
+        part = np.cumsum(sizes[joined]) // self.JOINED
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(joined)]
+        for i, j in zip(cuts, cuts[1:]):
+            some = joined[i:j]
+            if len(some):
+                numbers[some] = self._remember(*self._encode_joined(data[runs(offsets[rows[some]], sizes[some])], sizes[some]))
+        numbers[single] = self._remember(*self._encode_each([data[offsets[r]:offsets[r + 1]].tobytes() for r in rows[single]]))
+        return numbers
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after another, and the number of ids of each row; ``end_id`` closes each row."""
@@ -127,24 +245,22 @@ class Encoder:
         gap[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(gap)
         rows = np.searchsorted(offsets, starts, "right") - 1
-        which, pieces = distinct_words(data, np.append(starts, len(data)))
-        found = [self.known.get(p, -1) for p in pieces]
-        new = [i for i, k in enumerate(found) if k < 0]
-        flat, sizes = self._encode([pieces[i] for i in new])
-        base = len(self.ends) - 1
-        for n, i in enumerate(new):
-            found[i] = base + n
-        self.known.update((pieces[i], found[i]) for i in new if len(pieces[i]) <= 32)
-        self.ids, self.ends = np.concatenate([self.ids, flat]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-        entry = np.asarray(found, np.int64)
-        length = np.diff(self.ends)[entry][which] if len(which) else np.zeros(0, np.int64)
+        coded = binary_array(data, np.append(starts, len(data))).dictionary_encode()
+        which, (pieces, ends) = coded.indices.to_numpy(zero_copy_only=False), binary_parts(coded.dictionary)
+        short, keys = self.known.keys_of(pieces, ends)
+        entry = np.full(len(ends) - 1, -1, np.int64)
+        entry[short] = self.known.find(keys)
+        if self.count + int((entry < 0).sum()) > self.limit:
+            self._forget()
+            entry[:] = -1
+        new = np.flatnonzero(entry < 0)
+        entry[new] = self._encode(pieces, ends, new)
+        fresh = np.zeros(len(entry), bool)
+        fresh[new] = True
+        self.known.add(keys[fresh[short]], entry[short][fresh[short]])
+        length = self.sizes[entry][which]
         counts = np.bincount(rows, weights=length, minlength=len(offsets) - 1).astype(np.int64)
-        out = self.ids[runs(self.ends[entry[which]], length)] if len(which) else np.zeros(0, np.uint32)
-        if len(self.ends) > self.limit:
-            sizes = np.diff(self.ends)[entry]
-            self.ids = self.ids[runs(self.ends[entry], sizes)]
-            self.ends = np.append(0, np.cumsum(sizes))
-            self.known = {p: i for i, p in enumerate(pieces) if len(p) <= 32}
+        out = self.ids[runs(self.starts[entry][which], length)]
         if end_id is None:
             return out, counts
         return np.insert(out, np.cumsum(counts), np.uint32(end_id)), counts + 1
