@@ -35,6 +35,22 @@ def texts(docs):
     return {r.doc_id: r.text or "" for r in docs.collect()}
 
 
+def test_known_pieces_are_a_dictionary():
+    rng, want = np.random.default_rng(7), {}
+    table = common.KnownPieces(4)
+    for _ in range(6):
+        pieces = list({bytes(rng.integers(0, 4, rng.integers(0, 30)).astype(np.uint8) + rng.integers(0, 2, dtype=np.uint8)) for _ in range(400)})
+        data, offsets = np.frombuffer(b"".join(pieces), np.uint8), np.append(0, np.cumsum([len(p) for p in pieces]))
+        rows, keys = table.keys_of(data, offsets)
+        assert rows.tolist() == [i for i, p in enumerate(pieces) if len(p) <= 24 and 0 not in p]
+        found = table.find(keys)
+        assert found.tolist() == [want.get(pieces[r], -1) for r in rows]
+        new = np.flatnonzero(found < 0)
+        numbers = len(want) + np.arange(len(new))
+        table.add(keys[new], numbers)
+        want |= {pieces[rows[i]]: int(n) for i, n in zip(new, numbers)}
+
+
 def test_encoder_is_exact():
     from tokenizers import Tokenizer
 
