@@ -110,6 +110,34 @@ def test_pruning_bound():
     assert list(zip(a, b)) == [(0, 1), (0, 2), (1, 2), (4, 5)]
 
 
+def test_related_documents_share_shards(spark):
+    rng = np.random.default_rng(3)
+    topics = [[f"{''.join(rng.choice(list('bdfgklmnprst'), 3))}a{''.join(rng.choice(list('aeiou'), 2))}" for _ in range(40)] for _ in range(40)]
+    rows = [(i, " ".join(rng.choice(topics[i % 40], 60))) for i in range(400)]
+    path = common.tokenizer_path("word_bpe_49k.json")
+    coded = packing.encoded(edge(spark, rows).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("mark")), path, 1).cache()
+    known, ids = packing.statistics(coded), {r.doc_id: np.frombuffer(r.ids, packing.id_type(path)).tolist() for r in coded.collect()}
+    df = Counter(t for x in ids.values() for t in set(x))
+    assert known.docs == 400 and known.mean == pytest.approx(np.mean([len(x) for x in ids.values()])) and {t: known.df[t] for t in df} == df
+    placed = packing.pack_documents(edge(spark, rows), path, shard_ids=2048).collect()
+    shard = {}
+    for r in placed:
+        shard.setdefault(r.sequence_id, set()).add(r.doc_id % 40)
+    # about ten texts fill a window; dealt at random nearly all would be of other topics
+    pieces = Counter(r.sequence_id for r in placed)
+    assert sum(pieces[s] - len(t) for s, t in shard.items()) > 0.5 * len(placed)
+
+
+def test_bm25_asks_all_terms_of_the_seed():
+    counts = np.array([60, 30, 30])
+    ids = np.concatenate([np.arange(60), np.arange(30, 60), np.arange(100, 130)])
+    doc, term, tf = packing.term_counts(ids, counts)
+    known = packing.Statistics(np.bincount(term), 1000, 40.0)
+    scores = packing.Index(doc, term, tf, counts, known).scores(0)
+    idf, length = np.log1p((1000 - 2 + 0.5) / 2.5), packing.K1 * (1 - packing.B + packing.B * 30 / 40)
+    assert scores[1] == pytest.approx(30 * idf * (packing.K1 + 1) / (1 + length)) and scores[2] == 0
+
+
 @pytest.mark.parametrize("operator", ["pack", "planes"])
 def test_tokens_of_edges(spark, operator):
     from tokenizers import Tokenizer

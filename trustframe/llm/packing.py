@@ -1,47 +1,81 @@
-"""Sequences of related documents: a sharded BM25 index names the neighbours that fill a seed document's window."""
+"""Sequences of related documents: BM25 neighbours among documents of like content fill a seed document's window."""
 
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustframe.llm.common import encoder, parts_for, slices, text_bytes, text_volume
+from trustframe.llm.common import binary_array, binary_parts, encoder, parts_for, runs, slices, text_bytes, text_volume
+from trustframe.operators.storage import settle
 
 WINDOW = 2048
-#: Ids of a shard, query terms of a seed, and neighbours looked at before all are ranked.
-SHARD_IDS, TERMS, FIRST = 1 << 20, 24, 64
+#: Ids of a shard, terms of the key by which documents are dealt, and neighbours looked at before all are ranked.
+SHARD_IDS, KEYS, FIRST = 1 << 20, 6, 64
 K1, B = 1.2, 0.75
 
 
+def term_counts(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, times) of all terms of documents whose ids follow one another, by document, then term."""
+    owner = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
+    keys, tf = np.unique((owner << 32) | ids, return_counts=True)
+    return keys >> 32, keys & 0xFFFFFFFF, tf
+
+
+@dataclass
+class Statistics:
+    """What BM25 needs to know of all documents: bounded by the tokenizer's vocabulary."""
+
+    df: np.ndarray
+    docs: int
+    mean: float
+
+    def weights(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        idf = np.log1p((self.docs - self.df + 0.5) / (self.df + 0.5))
+        length = K1 * (1 - B + B * counts / max(self.mean, 1))
+        return idf[term] * tf * (K1 + 1) / (tf + length[doc])
+
+    def keys(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """KEYS weighted MinHash values of each document's terms that other documents have too: terms, as bytes.
+
+        Two documents share a value about as likely as their weights of terms overlap; related ones share the first few.
+        """
+        shared = self.df[term] > 1
+        weight = self.weights(doc, term, tf, counts)[shared]
+        doc, term = doc[shared], term[shared]
+        owners, first = np.unique(doc, return_index=True)
+        out = np.zeros((len(counts), KEYS), ">u4")
+        for k in range(KEYS if len(owners) else 0):
+            draw = np.random.default_rng(k).exponential(size=len(self.df))[term] / np.maximum(weight, 1e-12)
+            least = np.minimum.reduceat(draw, first)
+            hits = np.flatnonzero(draw == np.repeat(least, np.diff(np.append(first, len(doc)))))
+            out[owners, k] = term[hits[np.searchsorted(doc[hits], owners)]] + 1
+        return [row.tobytes() for row in out]
+
+
 class Index:
     """Inverted BM25 index of one shard: postings by term, each with its weight."""
 
-    def __init__(self, ids: np.ndarray, counts: np.ndarray):
+    def __init__(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, counts: np.ndarray, known: Statistics):
         n = len(counts)
-        owner = np.repeat(np.arange(n, dtype=np.int64), counts)
-        keys, tf = np.unique((owner << 32) | ids, return_counts=True)
-        doc, term = keys >> 32, keys & 0xFFFFFFFF
-        terms, term_no, df = np.unique(term, return_inverse=True, return_counts=True)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        length = K1 * (1 - B + B * counts / max(counts.mean(), 1))
-        weight = idf[term_no] * tf * (K1 + 1) / (tf + length[doc])
-        # of each document, the terms of largest weight are its query
-        best = np.lexsort((term_no, -weight, doc))
+        weight = known.weights(doc, term, tf, counts)
+        _, term_no, df = np.unique(term, return_inverse=True, return_counts=True)
         first = np.searchsorted(doc, np.arange(n + 1))
-        self.query = [term_no[best[first[d]:min(first[d + 1], first[d] + TERMS)]] for d in range(n)]
+        self.query = [term_no[first[d]:first[d + 1]] for d in range(n)]
         by_term = np.argsort(term_no, kind="stable")
-        self.doc, self.weight = doc[by_term], weight[by_term].astype(np.float32)
-        self.starts = np.append(0, np.cumsum(df))
+        self.doc, self.weight = doc[by_term], weight[by_term]
+        self.starts, self.df = np.append(0, np.cumsum(df)), df
         self.n = n
 
     def scores(self, seed: int) -> np.ndarray:
-        spans = [slice(self.starts[t], self.starts[t + 1]) for t in self.query[seed]]
-        docs = np.concatenate([self.doc[s] for s in spans])
-        return np.bincount(docs, weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
+        """Of each document, the sum of its weights of all terms of the seed."""
+        terms = self.query[seed]
+        at = runs(self.starts[terms], self.df[terms])
+        return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
 
 
 def ranked(scores: np.ndarray, left: np.ndarray):
@@ -56,7 +90,7 @@ def ranked(scores: np.ndarray, left: np.ndarray):
     yield from left[np.argsort(-scores[left], kind="stable")]
 
 
-def pack_shard(ids: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(index: Index, counts: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of all pieces of a shard.
 
     Documents of a window or more fill windows of their own first. Of what is left the longest document is the next
@@ -71,7 +105,6 @@ def pack_shard(ids: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> lis
             sequence += 1
         start[d] = counts[d] // window * window
     rest = counts - start
-    index = Index(ids, counts)
     unused = rest > 0
     seeds = np.lexsort((np.arange(n), -rest))
     last: list[tuple[int, int, int]] = []
@@ -123,41 +156,123 @@ def pack_shard(ids: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> lis
 OUT = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+def encoded(rows: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """(doc_id, mark, ids, terms) of all rows of (doc_id, text, mark): the ids and ``end_id`` in two bytes each, or four if the vocabulary asks for it.
+
+    terms are pairs (id, times) in four bytes each.
+    """
+    width = id_type(tokenizer)
+
+    def encode(batches):
+        encode_rows = encoder(tokenizer)
+        for b in slices(batches):
+            got, sizes = encode_rows(*text_bytes(b.column("text")), end_id)
+            ends = np.append(0, np.cumsum(sizes)) * width.itemsize
+            ids = binary_array(np.frombuffer(got.astype(width).tobytes(), np.uint8), ends)
+            doc, term, tf = term_counts(got.astype(np.int64), sizes)
+            pairs = np.column_stack([term, tf]).astype("<u4")
+            terms = binary_array(np.frombuffer(pairs.tobytes(), np.uint8), np.searchsorted(doc, np.arange(len(sizes) + 1)) * 8)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("mark"), ids.cast(pa.binary()), terms.cast(pa.binary())], ["doc_id", "mark", "ids", "terms"])
+
+    return rows.mapInArrow(encode, CODED)
+
+
+CODED = "doc_id bigint, mark bigint, ids binary, terms binary"
+
+
+def id_type(tokenizer: str) -> np.dtype:
+    from tokenizers import Tokenizer
+
+    return np.dtype("<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4")
+
+
+def read_ids(column: pa.Array, width: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows, one after another, and the number of ids of each row."""
+    data, offsets = binary_parts(column.cast(pa.large_binary()))
+    return data.view(width).astype(np.int64), np.diff(offsets) // width.itemsize
+
+
+def read_terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, times), and the number of ids of each document."""
+    data, offsets = binary_parts(column.cast(pa.large_binary()))
+    pairs = data.view("<u4").reshape(-1, 2).astype(np.int64)
+    doc = np.repeat(np.arange(len(column), dtype=np.int64), np.diff(offsets) // 8)
+    return doc, pairs[:, 0], pairs[:, 1], np.bincount(doc, weights=pairs[:, 1], minlength=len(column)).astype(np.int64)
+
+
+def statistics(coded: DataFrame) -> Statistics:
+    """Counts over all documents; term -1 has the documents, -2 the ids."""
+    def count(batches):
+        total, docs, size = np.zeros(0, np.int64), 0, 0
+        for b in slices(batches, "terms"):
+            _, term, _, counts = read_terms(b.column("terms"))
+            some = np.bincount(term, minlength=len(total))
+            some[:len(total)] += total
+            total, docs, size = some, docs + len(counts), size + int(counts.sum())
+        terms = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, [-1, -2])), pa.array(np.append(total[terms], [docs, size]))], ["term", "n"])
+
+    table = coded.select("terms").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    term, n = table["term"].to_numpy(np.int64), table["n"].to_numpy(np.int64)
+    df = np.zeros(max(term.max(initial=-1) + 1, 1), np.int64)
+    df[term[term >= 0]] = n[term >= 0]
+    docs, size = int(n[term == -1].sum()), int(n[term == -2].sum())
+    return Statistics(df, docs, size / max(docs, 1))
+
+
+def keyed(coded: DataFrame, known: Statistics) -> DataFrame:
+    """Adds to each document the terms by which it is dealt."""
+    def add(batches):
+        for b in slices(batches, "ids"):
+            keys = known.keys(*read_terms(b.column("terms")))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], [*b.schema.names, "key"])
+
+    return coded.mapInArrow(add, f"{CODED}, key binary")
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Packs (doc_id, text) into sequences of at most 2048 ids; returns the pieces.
 
-    A document is its ids and ``end_id``; null is an empty text. Rows are dealt by hash of (doc_id, text) and ordered
-    inside a partition, so a repeated task packs alike. A task takes documents up to ``shard_ids`` ids as one shard, however
+    A document is its ids and ``end_id``; null is an empty text. Terms are ids; their document frequencies and the mean length
+    are counted over all documents. Rows are ordered by weighted MinHash values of their terms and dealt by
+    ranges of that order, so related documents and copies stand together whatever their doc_id, and a frequent value is cut at the
+    next, at last by hash of (doc_id, text). A task takes documents up to ``shard_ids`` ids as one shard, however
     many rows it has. Repeated rows are packed each. sequence_id is unique over all tasks. An empty table gives an
     empty result.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    mark = F.xxhash64("doc_id", "text")
-    dealt = rows.repartition(parts_for(text_volume(rows), rows, 32 << 20), mark).sortWithinPartitions(mark, "doc_id")
+    parts, width = parts_for(text_volume(rows), rows, 32 << 20), id_type(tokenizer)
+    coded = settle(encoded(rows.withColumn("mark", F.xxhash64("doc_id", "text")), tokenizer, end_id), "ids")
+    known = statistics(coded)
+    order = ["key", "mark", "doc_id"]
+    dealt = keyed(coded, known).repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def pack(batches):
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 40
-        encode_rows, held, names, ids, counts = encoder(tokenizer), 0, [], [], []
+        held, names, ids, counts, terms = 0, [], [], [], []
 
         def shard():
-            nonlocal first, held, names, ids, counts
+            nonlocal first, held, names, ids, counts, terms
             flat, sizes = np.concatenate(ids), np.concatenate(counts)
             begin = np.cumsum(sizes) - sizes
-            pieces = pack_shard(flat.astype(np.int64), sizes)
+            doc, term, tf, _ = read_terms(pa.chunked_array(terms).combine_chunks())
+            pieces = pack_shard(Index(doc, term, tf, sizes, known), sizes)
             doc, start, length, sequence, offset = (np.asarray(c, np.int64) for c in zip(*pieces))
+            flat = flat.astype("<u4")
             crc = [zlib.crc32(flat[a:a + n].tobytes()) for a, n in zip(begin[doc] + start, length)]
             owners = pa.array(names, pa.int64()).take(pa.array(doc))
             out = [owners, *map(pa.array, (start, length, np.asarray(crc, np.int64), sizes[doc], sequence + first, offset))]
             first += int(sequence.max()) + 1
-            held, names, ids, counts = 0, [], [], []
+            held, names, ids, counts, terms = 0, [], [], [], []
             return pa.RecordBatch.from_arrays(out, [f.split()[0] for f in OUT.split(", ")])
 
-        for b in slices(batches):
-            got, sizes = encode_rows(*text_bytes(b.column("text")), end_id)
+        for b in slices(batches, "ids"):
+            got, sizes = read_ids(b.column("ids"), width)
             ids.append(got)
             counts.append(sizes)
+            terms.append(b.column("terms").cast(pa.large_binary()))
             names += b.column("doc_id").to_pylist()
             held += len(got)
             if held >= shard_ids:
