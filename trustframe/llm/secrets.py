@@ -25,10 +25,15 @@ LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 #: What makes the following AHEAD code points sensitive, and what can be a secret there.
 CONTEXT = re.compile(r"password|passwd|passphrase|\bpwd\b|secret|token|api[_ -]?key|credential|private[_ -]?key|access[_ -]?key|authorization|bearer", re.I | re.A)
 HINT = r"(?i)passw|passphrase|pwd|secret|token|api[_ -]?key|credential|private[_ -]?key|access[_ -]?key|authorization|bearer"
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+LEAST_NOVEL = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{LEAST_NOVEL},}}")
 AHEAD, AROUND = 48, 512
-#: Share of a candidate's bytes that must stay after compression.
+#: Share of a candidate's bytes by its own order-0 entropy that must stay after compression.
 NOVELTY = 0.75
+#: What may stand between a reported secret and the next line that belongs to it.
+ADJOINING = re.compile(r"[\x20\t\"'+,\\]*(?:\r?\n[\x20\t\"'+]*){1,2}")
+#: The short last line of such a secret: padded, or before the closing line of a key.
+TAIL = re.compile(rf"[A-Za-z0-9+/]{{1,{LEAST_NOVEL - 1}}}(?:={{1,2}}(?![A-Za-z0-9+/=])|(?=\r?\n-----END))")
 #: Identifiers and phrases of code that are no secrets; every candidate's dictionary begins with them.
 IDENTIFIERS = b" ".join(
     b"abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 9876543210 0000000000000000 1111111111111111 "
@@ -49,19 +54,45 @@ def marginal_bytes(candidate: bytes, around: bytes) -> int:
     return len(press.compress(candidate)) - len(press.compress(b""))
 
 
+def entropy_bytes(candidate: bytes) -> float:
+    """Bytes of ``candidate`` if each of its characters is written by its own frequency in it."""
+    times = np.unique(np.frombuffer(candidate, np.uint8), return_counts=True)[1]
+    return float((times * np.log2(len(candidate) / times)).sum() / 8)
+
+
+def is_novel(text: str, start: int, end: int) -> bool:
+    """Has a letter and a digit and stays long although text around it is known.
+
+    Below 64 bytes zstandard writes characters as they are, so the bound is the length; from there on it writes them by
+    frequency, and no string can stay longer than its own entropy.
+    """
+    piece = text[start:end]
+    if not (re.search("[0-9]", piece) and re.search("[A-Za-z]", piece)):
+        return False
+    around = text[max(0, start - AROUND):start] + " " + text[end:end + AROUND]
+    left = marginal_bytes(piece.encode(), around.encode("utf-8", "surrogatepass"))
+    return left >= NOVELTY * min(len(piece), entropy_bytes(piece.encode()) if len(piece) >= 64 else len(piece))
+
+
 def novel(text: str) -> list[tuple[int, int]]:
-    """Candidates after a sensitive word, with a letter and a digit, that stay long although text around them is known."""
+    """Candidates that start within AHEAD of a sensitive word and are novel, and those on lines that adjoin a reported one."""
     found, done = [], 0
     for word in CONTEXT.finditer(text):
-        for m in CANDIDATE.finditer(text, max(word.end(), done), min(len(text), word.end() + AHEAD)):
-            end = CANDIDATE.match(text, m.start()).end()  # the window may cut it
-            done = end
-            piece = text[m.start():end]
-            if not (re.search("[0-9]", piece) and re.search("[A-Za-z]", piece)):
-                continue
-            around = text[max(0, m.start() - AROUND):m.start()] + " " + text[end:end + AROUND]
-            if marginal_bytes(piece.encode(), around.encode("utf-8", "surrogatepass")) >= NOVELTY * len(piece):
-                found.append((m.start(), end))
+        at, last = max(word.end(), done), word.end() + AHEAD
+        while m := CANDIDATE.search(text, at, min(len(text), last + LEAST_NOVEL)):
+            start = m.start()
+            at = done = CANDIDATE.match(text, start).end()  # the window may cut it
+            while is_novel(text, start, done):
+                found.append((start, done))
+                gap = ADJOINING.match(text, done)
+                more = gap and CANDIDATE.match(text, gap.end())
+                if not more:
+                    if tail := gap and TAIL.match(text, gap.end()):
+                        found.append(tail.span())
+                        done = tail.end()
+                    break
+                start, done = more.span()
+            at = done
     return found
 
 
