@@ -353,3 +353,36 @@ def interrater_k(spark, folder):
 @query(_summary(["entropy", "kappa", "kw_variance", "disagreement", "q_statistic"]))
 def diversity_summary(spark, folder):
     return _summarised(spark, folder, ["entropy", "kappa", "kw_variance", "disagreement", "q_statistic"])
+
+
+# ---- the same over all five datasets of the collection ----
+
+EACH = CV + """,
+  pairs AS (SELECT dataset, a.model AS model_a, b.model AS model_b, count(*) FILTER (NOT ka AND NOT kb) AS n00, count(*) FILTER (NOT ka AND kb) AS n01,
+    count(*) FILTER (ka AND NOT kb) AS n10, count(*) FILTER (ka AND kb) AS n11 FROM (SELECT *, y_true = y_pred AS ka FROM pred) a
+    JOIN (SELECT *, y_true = y_pred AS kb FROM pred) b USING (dataset, row_id) GROUP BY ALL)"""
+TABLE = ["n00", "n01", "n10", "n11"]
+
+
+@query(with_(EACH, select=f"SELECT dataset, model_a, model_b, {', '.join(TABLE)} FROM pairs"))
+def pair_tables_by_dataset(spark, folder):
+    return diversity.pair_tables(predicted(spark, folder), full=True, keys=["dataset"])
+
+
+@query(with_(EACH, select="SELECT dataset, model_a, model_b, " + ", ".join(f"round({e}, 6) AS {c}" for c, e in MEASURES.values()) + " FROM pairs WHERE model_a < model_b"))
+def pair_measures_by_dataset(spark, folder):
+    found = diversity.pair_measures(predicted(spark, folder), keys=["dataset"])
+    return found.select("dataset", "model_a", "model_b", *[F.round(c, 6).alias(c) for c, _ in MEASURES.values()])
+
+
+SUMMED = ["entropy", "kappa", "kw_variance", "disagreement", "q_statistic"]
+
+
+@query(with_(EACH, """ent AS (SELECT dataset, avg((1 - abs(c - 1)) / 1.5) AS e, avg(c / 3) AS p
+    FROM (SELECT dataset, row_id, count(*) FILTER (y_true = y_pred) AS c FROM pred GROUP BY dataset, row_id) GROUP BY dataset)""",
+  f"""summary AS (SELECT dataset, any_value(e) AS entropy, 1 - avg({DIS}) / (2 * any_value(p * (1 - p))) AS kappa, 2.0 / 6 * avg({DIS}) AS kw_variance,
+    avg({DIS}) AS disagreement, avg({Q}) AS q_statistic FROM pairs JOIN ent USING (dataset) WHERE model_a < model_b GROUP BY dataset)""",
+  select="SELECT dataset, " + ", ".join(f"round({c}, 6) AS {c}" for c in SUMMED) + " FROM summary"))
+def diversity_by_dataset(spark, folder):
+    found = diversity.diversity_summary(predicted(spark, folder), keys=["dataset"])
+    return found.select("dataset", *[F.round(c, 6).alias(c) for c in SUMMED])

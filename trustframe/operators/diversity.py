@@ -1,4 +1,4 @@
-"""Diversity of an ensemble from its predictions (row_id, model, y_true, y_pred).
+"""Diversity of an ensemble from its predictions (row_id, model, y_true, y_pred), for each value of ``keys`` if there are any.
 
 Rows are first reduced to their pattern of right and wrong models; pairs are formed
 on the distinct patterns with their counts, not on the rows.
@@ -6,6 +6,8 @@ on the distinct patterns with their counts, not on the rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,22 +16,22 @@ from trustframe.operators.storage import settle, settle_small
 TINY = 1e-12  # stands in for a zero divisor of the Q-statistic
 
 
-def hit_patterns(predictions: DataFrame) -> DataFrame:
-    """(pattern: sorted array<struct<model, ok>>, n)."""
+def hit_patterns(predictions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(*keys, pattern: sorted array<struct<model, ok>>, n)."""
     ok = (F.col("y_true") == F.col("y_pred")).cast("int")
-    rows = predictions.groupBy("row_id").agg(
+    rows = predictions.groupBy(*keys, "row_id").agg(
         F.array_sort(F.collect_list(F.struct("model", ok.alias("ok")))).alias("pattern")
     )
-    return settle(rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")), "patterns")
+    return settle(rows.groupBy(*keys, "pattern").agg(F.count(F.lit(1)).alias("n")), "patterns")
 
 
-def pair_tables(predictions: DataFrame, full: bool = False) -> DataFrame:
-    """(model_a, model_b, n00, n01, n10, n11): joint correctness, a < b unless ``full``."""
-    wide = hit_patterns(predictions)
+def pair_tables(predictions: DataFrame, full: bool = False, keys: Sequence[str] = ()) -> DataFrame:
+    """(*keys, model_a, model_b, n00, n01, n10, n11): joint correctness, a < b unless ``full``."""
+    wide = hit_patterns(predictions, keys)
     pairs = (
-        wide.select("n", "pattern", F.explode("pattern").alias("a"))
-        .select("n", "a", F.explode("pattern").alias("b"))
-        .select("n", F.col("a.model").alias("model_a"), F.col("b.model").alias("model_b"),
+        wide.select(*keys, "n", "pattern", F.explode("pattern").alias("a"))
+        .select(*keys, "n", "a", F.explode("pattern").alias("b"))
+        .select(*keys, "n", F.col("a.model").alias("model_a"), F.col("b.model").alias("model_b"),
                 F.col("a.ok").alias("ok_a"), F.col("b.ok").alias("ok_b"))
     )
     if not full:
@@ -38,7 +40,7 @@ def pair_tables(predictions: DataFrame, full: bool = False) -> DataFrame:
     def cell(i: int, j: int) -> Column:
         return F.sum(F.when((F.col("ok_a") == i) & (F.col("ok_b") == j), F.col("n")).otherwise(0))
 
-    return pairs.groupBy("model_a", "model_b").agg(
+    return pairs.groupBy(*keys, "model_a", "model_b").agg(
         cell(0, 0).alias("n00"), cell(0, 1).alias("n01"), cell(1, 0).alias("n10"), cell(1, 1).alias("n11")
     )
 
@@ -70,8 +72,9 @@ def double_fault() -> Column:
     return _n("n00") / _all()
 
 
-def pair_measures(predictions: DataFrame, full: bool = False) -> DataFrame:
-    return pair_tables(predictions, full).select(
+def pair_measures(predictions: DataFrame, full: bool = False, keys: Sequence[str] = ()) -> DataFrame:
+    return pair_tables(predictions, full, keys).select(
+        *keys,
         "model_a",
         "model_b",
         q_statistic().alias("q_statistic"),
@@ -93,28 +96,29 @@ def entropy_e(predictions: DataFrame) -> DataFrame:
     return hit_patterns(predictions).agg((F.sum(value * F.col("n")) / F.sum("n")).alias("entropy"))
 
 
-def diversity_summary(predictions: DataFrame, p: float | None = None) -> DataFrame:
-    """One row: entropy, kappa, kw_variance, disagreement, q_statistic.
+def diversity_summary(predictions: DataFrame, p: float | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each value of ``keys``: entropy, kappa, kw_variance, disagreement, q_statistic.
 
     Kappa needs the mean member accuracy ``p``; it is measured when not given.
     """
-    wide = hit_patterns(predictions)
+    wide = hit_patterns(predictions, keys)
     right = F.aggregate("pattern", F.lit(0), lambda acc, e: acc + e["ok"])
     half = F.floor(_pattern_size() / 2)
-    per_row = wide.agg(
+    per_row = wide.groupBy(*keys).agg(
         (F.sum((half - F.abs(right - half)) / (_pattern_size() / 2.0) * F.col("n")) / F.sum("n")).alias("entropy"),
         F.max(_pattern_size()).alias("members"),
         (F.sum(right / _pattern_size() * F.col("n")) / F.sum("n")).alias("p_measured"),
     )
-    pairs = pair_measures(predictions).agg(
+    pairs = pair_measures(predictions, keys=keys).groupBy(*keys).agg(
         F.avg("disagreement").alias("disagreement"), F.avg("q_statistic").alias("q_statistic")
     )
     accuracy = F.col("p_measured") if p is None else F.lit(float(p))
     both = settle_small(per_row, "per_row")
-    row = pairs.select(
+    row = pairs.join(both, list(keys)) if keys else pairs.select(
         "*", *[both.select(c).scalar().alias(c) for c in ("entropy", "members", "p_measured")]
     )
     return row.select(
+        *keys,
         "entropy",
         (1 - F.try_divide(F.col("disagreement"), 2 * accuracy * (1 - accuracy))).alias("kappa"),
         ((F.col("members") - 1) / (2.0 * F.col("members")) * F.col("disagreement")).alias("kw_variance"),
