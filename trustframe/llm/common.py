@@ -310,14 +310,16 @@ def component_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(rounds):
+        # the minima are written first: both sides of the joins are then dealt anew, and the neighbours of a heavy centre can be split
         near = both(e)
-        least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = settle(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = near.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = settle(large.distinct(), "large")
         # a > b in every row of large: each a's smallest b becomes the centre of its other bs
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = settle(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         e = settle(small.where("a <> b").distinct(), "edges")
-        state = e.agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).first()
+        state = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.bit_xor(F.xxhash64("b", "a")).alias("y")).first()
         if state == before:
             break
         before = state

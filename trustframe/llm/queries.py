@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustframe.llm import bitplanes, class_lm, impact_search, language, mixing, near_join, order_minhash, packing, secrets, warc
+from trustframe.llm import bitplanes, class_lm, impact_search, language, mixing, near_join, order_minhash, packing, repair, secrets, simhash, warc, whitening
 from trustframe.llm.common import tokenizer_path
+from trustframe.operators.storage import settle
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -185,3 +186,35 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     taken = (F.col("size") * F.col("copies")).cast("long")
     return mixing.mix_counts(docs).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+@query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(rows.select("vec_id", whitening.scaled(F.col("embedding")).alias("x")))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with the faults of the contract: rows dropped, emptied, cut, repeated, given to the user."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), kind.alias("kind")).where("kind <> 0")
+    bare = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    return rows.select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), bare.alias("text"),
+        F.explode(F.array_repeat(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
+
+
+@query()
+def op12_checkpointed_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    faults, edits = repair.repair(damaged(rows))
+    found = repair.joined(repair.joined(rows.select("conv_id").distinct(), settle(faults, "faults")), settle(repair.digests(edits), "digests"))
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@query()
+def op13_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(table(spark, sf_dir, "documents"))
