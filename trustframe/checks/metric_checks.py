@@ -22,7 +22,7 @@ def baseline(spark, folder):
 
 
 POOL = {"centroid": NearestCentroid(), "gnb": GaussianBayes()}
-PERC = (50, 25)
+PERC = assoc.PERCENTAGES
 DIMS = range(1, 65)
 
 
@@ -78,9 +78,9 @@ def association_baseline(spark, folder):
     return baseline(spark, folder).withColumn("score", F.round("score", 6))
 
 
-NPERM = 4
+NPERM = assoc.PERMUTATIONS
 PK = ["perm", "perc", "fold"]
-PERMS = ",\n".join([BASELINE, permuted_sql(perms=NPERM, levels="50, 25"),
+PERMS = ",\n".join([BASELINE, permuted_sql(perms=NPERM, levels="50, 30, 10, 1"),
   "relabelled AS (SELECT perm, perc, row_id, x, y_perm AS y FROM permuted)",
   folds_cte("relabelled", 2, ["perm", "perc"]), train_cte(2),
   centroid_cte(PK, DIMS, "pc"), gnb_cte(PK, DIMS, "pg"), f1_cte(PK, "pc", "pcf"), f1_cte(PK, "pg", "pgf"),
@@ -89,12 +89,14 @@ PERMS = ",\n".join([BASELINE, permuted_sql(perms=NPERM, levels="50, 25"),
   "perm_corr AS (SELECT perm, perc, corr(y, y_perm) AS corr FROM permuted GROUP BY ALL)",
   """pvalues AS (SELECT s.model, perc, (count(*) FILTER (s.score >= b.score) + 1) / (count(*) + 1) AS p_value FROM perm_scores s
     JOIN baseline b ON s.model = b.model GROUP BY ALL)""",
-  """pts AS (SELECT s.model, s.perc, CASE s.perc WHEN 50 THEN 0 ELSE 1 END AS level, avg(s.score) AS score,
+  """pts AS (SELECT s.model, s.perc, list_position([50, 30, 10, 1], s.perc) - 1 AS level, avg(s.score) AS score,
     (SELECT avg(corr) FROM perm_corr c WHERE c.perc = s.perc) AS corr FROM perm_scores s GROUP BY ALL)""",
-  """slopes AS (SELECT model, regr_slope(score, corr) AS slope, regr_intercept(score, corr) AS intercept,
-    abs((max(corr) - min(corr)) * sum(score) / 2) AS area FROM pts GROUP BY model)""",
-  "env AS (SELECT level, any_value(corr) AS corr, max(score) AS score FROM pts GROUP BY level)",
-  """result AS (SELECT (max(corr) - min(corr)) * sum(score) / 2 AS envelope_area, max(score) FILTER (level = 1) AS max_clf_score FROM env)"""])
+  """strips AS (SELECT model, (corr - lag(corr) OVER (PARTITION BY model ORDER BY level)) * (score + lag(score) OVER (PARTITION BY model ORDER BY level)) / 2 AS a FROM pts)""",
+  """slopes AS (SELECT p.model, regr_slope(score, corr) AS slope, regr_intercept(score, corr) AS intercept,
+    (SELECT sum(a) FROM strips t WHERE t.model = p.model) AS area FROM pts p GROUP BY p.model)""",
+  "env AS (SELECT level, any_value(corr) AS corr, greatest(0, max(score)) AS score FROM pts GROUP BY level)",
+  "envs AS (SELECT level, score, (corr - lag(corr) OVER (ORDER BY level)) * (score + lag(score) OVER (ORDER BY level)) / 2 AS a FROM env)",
+  """result AS (SELECT sum(a) AS envelope_area, max(score) FILTER (level = 3) AS max_clf_score FROM envs)"""])
 
 
 @kept
@@ -142,13 +144,10 @@ def association_score(spark, folder):
     })
 
 
-# two models, two levels: the fold over (count above the limit, score) written out
-@query(with_(PERMS, """m AS (SELECT p.model, count(*) FILTER (p_value > 0.01) AS above, any_value(b.score) AS score FROM pvalues p
+@query(with_(PERMS, """m AS (SELECT p.model, CASE p.model WHEN 'centroid' THEN 0 ELSE 1 END AS pos, count(*) FILTER (p_value > 0.01) AS above, any_value(b.score) AS score FROM pvalues p
     JOIN baseline b ON p.model = b.model GROUP BY p.model)""",
-  """one AS (SELECT above AS c, score AS top, CASE WHEN above = 0 THEN 'Good' WHEN above < 2 THEN 'Mid' ELSE 'Bad' END AS status FROM m WHERE model = 'centroid')""",
-  """kept AS (SELECT c + above AS c, CASE WHEN c + above = 0 THEN CASE WHEN m.score < greatest(top, m.score) THEN 'Repeat' ELSE 'Good' END
-    ELSE status END AS status FROM one, m WHERE model = 'gnb')""",
-  select="SELECT CASE WHEN c < 2 AND status <> 'Good' THEN 'Mid' WHEN c = 2 THEN 'Bad' ELSE status END AS status FROM kept"))
+  "run AS (SELECT pos, sum(above) OVER (ORDER BY pos) AS c, score >= max(score) OVER (ORDER BY pos) AS leads FROM m)",
+  select="""SELECT CASE WHEN bool_or(c = 4) THEN 'Bad' WHEN arg_max(leads, pos) FILTER (c = 0) THEN 'Good' WHEN bool_or(c < 4) THEN 'Mid' END AS status FROM run"""))
 def association_status(spark, folder):
     _, scores, _ = permuted(spark, folder)
     true = baseline(spark, folder)

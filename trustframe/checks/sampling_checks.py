@@ -137,19 +137,41 @@ def undersampled_folds(spark, folder):
 SPEC = permuting.spec_grid(2, [50, 10])
 
 
+def bijection_sql(src: str, out: str, value: str, n: str, keys: str, walks: int = 9) -> str:
+    """``out`` = src plus ``v``, the image of value in 0 ... n - 1 under the keyed permutation (``walks`` times through the network at most)."""
+    mix = lambda x, r: f"(((({x} * 1103515245 + _k[{r}]) % 2147483647) * (({x} * 1103515245 + _k[{r}]) % 2147483647) + _k[{r}]) % 2147483629) >> 7"
+    found = f"""SELECT *, {value} AS _v, CAST({n} AS BIGINT) AS _n, CAST(ceil(sqrt({n})) AS BIGINT) AS _a, CAST(ceil({n} / ceil(sqrt({n}))) AS BIGINT) AS _b, {keys} AS _k,
+      CAST(0 AS BIGINT) AS _l, CAST(0 AS BIGINT) AS _r, false AS _in FROM {src}"""
+    for _ in range(walks):
+        found = f"SELECT * REPLACE (_v // _b AS _l, _v % _b AS _r) FROM ({found})"
+        for r in range(1, 7):
+            found = f"SELECT * REPLACE ((_l + ({mix('_r', r)})) % _a AS _l) FROM ({found})" if r % 2 else f"SELECT * REPLACE ((_r + ({mix('_l', r)})) % _b AS _r) FROM ({found})"
+        found = f"SELECT * REPLACE (CASE WHEN _in THEN _v ELSE _l * _b + _r END AS _v, _in OR _l * _b + _r < _n AS _in) FROM ({found})"
+    return f"{out} AS MATERIALIZED (SELECT * EXCLUDE (_v, _n, _a, _b, _k, _l, _r, _in), _v AS v FROM ({found}))"
+
+
+def keys_sql(*parts: str) -> str:
+    return "[" + ", ".join(f"{hash_sql(*parts, str(r))} % 2147483647" for r in range(6)) + "]"
+
+
 def permuted_sql(redraw: bool = True, perms: int = 2, levels: str = "50, 10") -> str:
-    sel = md5_sql("1410", "'sel'", "perm", "perc", "row_id") if redraw else md5_sql("1410", "'sel'", "row_id")
-    return f"""grid AS (SELECT row_id, x, y, CAST(p.perm AS INTEGER) AS perm, l.perc FROM vectors,
-      (SELECT unnest(range({perms})) AS perm) p, (SELECT unnest([{levels}]) AS perc) l),
-  sel AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY perm, perc, y ORDER BY {sel}, row_id) AS rk,
-      count(*) OVER (PARTITION BY perm, perc, y) AS n FROM grid) WHERE rk <= round_even(perc * n / 100.0, 0)),
-  spots AS (SELECT perm, perc, row_id, y,
-      row_number() OVER (PARTITION BY perm, perc ORDER BY {md5_sql('1410', "'slot'", 'perm', 'perc', 'row_id')}, row_id) AS a,
-      row_number() OVER (PARTITION BY perm, perc ORDER BY {md5_sql('1410', "'shuf'", '0', 'perm', 'perc', 'row_id')}, row_id) AS h
-      FROM sel),
-  moved AS (SELECT u.perm, u.perc, u.row_id, v.y AS y_new FROM spots u JOIN spots v ON u.perm = v.perm AND u.perc = v.perc AND u.a = v.h),
+    sel = keys_sql("1410", "'select'", "perm", "perc", "y") if redraw else keys_sql("1410", "'select'", "y")
+    return f"""sizes AS (SELECT y, count(*) AS n FROM vectors GROUP BY y),
+  lev AS MATERIALIZED (SELECT *, coalesce(sum(target) OVER (PARTITION BY perm, perc ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first,
+      (sum(target) OVER (PARTITION BY perm, perc))::BIGINT AS m, {sel} AS sk FROM (SELECT y, n, CAST(perm AS INTEGER) AS perm, perc, round_even(perc * n / 100.0, 0)::BIGINT AS target
+      FROM sizes, (SELECT unnest(range({perms})) AS perm), (SELECT unnest([{levels}]) AS perc))),
+  probe AS (SELECT perm, perc, m, y, t, first + unnest(range(least(target, 64))) AS s FROM lev, (SELECT unnest(range(5)) AS t)),
+  {bijection_sql('probe', 'probed', 's', 'm', keys_sql('1410', "'shuffle'", 't', 'perm', 'perc'))},
+  tried AS (SELECT p.perm, p.perc, least(4, coalesce(min(t) FILTER (p.y <> l.y), 4)) AS t FROM probed p JOIN lev l
+      ON p.perm = l.perm AND p.perc = l.perc AND p.v >= l.first AND p.v < l.first + l.target GROUP BY ALL),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {md5_sql('1410', "'rank'", 'row_id')}, row_id) - 1 AS rk FROM vectors),
+  grid AS (SELECT r.row_id, r.x, r.y, rk, n, perm, perc, target, first, m, sk FROM ranked r JOIN lev ON r.y = lev.y),
+  {bijection_sql('grid', 'placed', 'rk', 'n', 'sk')},
+  spot AS (SELECT perm, perc, row_id, first + v AS s, m, {keys_sql('1410', "'shuffle'", 't', 'perm', 'perc')} AS fk FROM placed JOIN tried USING (perm, perc) WHERE v < target),
+  {bijection_sql('spot', 'moved', 's', 'm', 'fk')},
+  given AS (SELECT m.perm, m.perc, m.row_id, l.y AS y_new FROM moved m JOIN lev l ON m.perm = l.perm AND m.perc = l.perc AND m.v >= l.first AND m.v < l.first + l.target),
   permuted AS (SELECT g.perm, g.perc, g.row_id, g.x, g.y, coalesce(m.y_new, g.y) AS y_perm FROM grid g
-      LEFT JOIN moved m ON g.perm = m.perm AND g.perc = m.perc AND g.row_id = m.row_id)"""
+      LEFT JOIN given m ON g.perm = m.perm AND g.perc = m.perc AND g.row_id = m.row_id)"""
 
 
 @query(with_(VECTORS, permuted_sql(), select="SELECT perm, perc, row_id, y, y_perm FROM permuted"))

@@ -114,42 +114,59 @@ def mask_quality(
     )
 
 
+def mutate(pool: Pool, rate: float, rng: np.random.Generator) -> Pool:
+    """Each mask bit turned over with chance ``rate``."""
+    return pool ^ (rng.random(pool.shape) < rate)
+
+
+def cross(pool: Pool, rate: float, rng: np.random.Generator) -> Pool:
+    """With chance ``rate`` an ensemble takes a random half of its bits from its neighbour in a random ring."""
+    ring = rng.permutation(len(pool))
+    mate = np.empty(len(pool), int)
+    mate[ring] = np.roll(ring, 1)
+    takes = (rng.random(len(pool)) < rate)[:, None, None] & (rng.random(pool.shape) < 0.5)
+    return np.where(takes, pool[mate], pool)
+
+
+def tournament(quality: np.ndarray, places: int, rng: np.random.Generator) -> np.ndarray:
+    """For each place the better of two ensembles drawn at random."""
+    pairs = rng.integers(len(quality), size=(places, 2))
+    return np.where(quality[pairs[:, 0]] >= quality[pairs[:, 1]], pairs[:, 0], pairs[:, 1])
+
+
 def evolve(
     rows: DataFrame, dim: int, pool: Pool, generations: int = 50, elite: int = 1, p_cross: float = 0.025,
     p_mutate: float = 0.01, alpha: float = 0.0, beta: float = 0.0, metric: str = "f1", seed: int = 13,
 ) -> tuple[Pool, DataFrame]:
-    """Final pool, best ensemble first, and the history (generation, ensemble, score, quality)."""
+    """Last pool, best ensemble first, and the history (generation, ensemble, score, quality).
+
+    The ``elite`` best pass unchanged; the other places go to winners of tournaments of two, crossed and mutated. An ensemble
+    that was scored before is not scored again, and a generation's new ones share one job.
+    """
     rng = np.random.default_rng(seed)
     rows = settle(rows, "rows")
     model = base_model(rows, dim)
-    known: dict[bytes, float] = {}
-    history = []
-    pool = pool.copy()
-    size = pool.shape[0]
+    memory: dict[bytes, float] = {}
+
+    def graded(current: Pool) -> tuple[Pool, np.ndarray, np.ndarray]:
+        names = [e.tobytes() for e in current]
+        new = [i for i, name in enumerate(names) if name not in memory and names.index(name) == i]
+        if new:
+            memory.update(zip([names[i] for i in new], pool_scores(rows, model, current[new], metric)))
+        score = np.array([memory[name] for name in names])
+        quality = score - alpha * usage(current) + beta * spread(current)
+        best = np.lexsort((np.arange(len(names)), -quality))
+        return current[best], score[best], quality[best]
+
+    children, history = pool[elite:], []
+    top = pool[:elite]
     for generation in range(generations):
-        flips = rng.random(pool.shape) < p_mutate
-        flips[:elite] = False
-        pool ^= flips
-        for target in np.flatnonzero(rng.random(size) < p_cross):
-            if target >= elite:
-                donor = pool[rng.integers(size)]
-                pool[target] = np.where(rng.random(donor.shape) < 0.5, donor, pool[target])
-        unseen = {e.tobytes(): e for e in pool if e.tobytes() not in known}
-        if unseen:
-            fresh = pool_scores(rows, model, np.stack(list(unseen.values())), metric)
-            known.update(zip(unseen, fresh))
-        score = np.array([known[e.tobytes()] for e in pool])
-        quality = score - alpha * usage(pool) + beta * spread(pool)
-        order = np.argsort(-quality, kind="stable")
-        pool, score, quality = pool[order], score[order], quality[order]
+        bred = mutate(cross(children, p_cross, rng), p_mutate, rng)
+        current, score, quality = graded(np.concatenate([top, bred]))
         history += [(generation, i, float(s), float(q)) for i, (s, q) in enumerate(zip(score, quality))]
-        fitness = quality - min(0.0, quality.min())
-        fitness[fitness == 0] = 1e-7
-        odds = fitness[elite:] / fitness[elite:].sum()
-        if generation + 1 < generations:
-            pool[elite:] = pool[rng.choice(np.arange(elite, size), size - elite, p=odds)]
+        top, children = current[:elite], current[tournament(quality, len(pool) - elite, rng)]
     table = rows.sparkSession.createDataFrame(history, "generation int, ensemble int, score double, quality double")
-    return pool, table
+    return (current if generations else pool), table
 
 
 def masked_vote(rows: DataFrame, model: BaseModel, masks: np.ndarray) -> DataFrame:

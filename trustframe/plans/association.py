@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustframe.learners.base import Learner
 from trustframe.learners.trees import prepared
-from trustframe.operators.permuting import Spec, expand_permutations, permuted_rows, spec_grid
+from trustframe.operators.permuting import Spec, class_ranks, permutation_levels, permuted_labels, spec_grid
 from trustframe.operators.sampling import stratified_kfold
 from trustframe.operators.scoring import confusion, label_corr, score_table_wide, slope, trapezoid_auc
 from trustframe.operators.storage import settle, settle_small
@@ -58,19 +58,20 @@ def permutation_tables(
 ) -> tuple[DataFrame, DataFrame]:
     """perm_scores (perm, perc, model, score) and perm_corr (perm, perc, corr).
 
-    Permuted labels serve for training, testing and fold assignment. Permutations are
+    Permuted labels serve for training, testing and fold assignment. Rows are ranked once. Permutations are
     handled in batches of about ``batch`` (perm, perc) pairs, which bounds the size of
     the intermediate tables independently of the number of permutations.
     """
     rows = prepared(rows, learners.values(), dim)
+    ranked = settle(class_ranks(rows.select("row_id", "y"), seed), "ranked")
+    features = rows.drop("y")
     scores, corrs = [], []
     for start in range(0, len(spec), batch):
-        part = list(spec[start : start + batch])
-        permuted = settle(permuted_rows(rows, part, seed, redraw), "permuted")
-        long = expand_permutations(permuted, part)
+        levels = permutation_levels(ranked, list(spec[start : start + batch]), seed, redraw)
+        long = settle(permuted_labels(ranked, levels).drop("is_chosen"), "permuted")
         corrs.append(settle_small(label_corr(long, ["perm", "perc"]), "corr"))
         relabelled = long.drop("y").withColumnRenamed("y_perm", "y")
-        folds = stratified_kfold(relabelled, FOLDS, keys=["perm", "perc"], seed=seed)
+        folds = settle(stratified_kfold(relabelled, FOLDS, keys=["perm", "perc"], seed=seed).join(features, "row_id"), "folds")
         scores.append(settle_small(_fold_means(folds, learners, ["perm", "perc"], dim, n_classes), "scores"))
     return reduce(DataFrame.unionByName, scores), reduce(DataFrame.unionByName, corrs)
 
@@ -128,34 +129,22 @@ def association_score(points: DataFrame, baseline: DataFrame | None = None) -> D
 
 
 def association_status(pvalues: DataFrame, baseline: DataFrame, models: Sequence[str], levels: int) -> DataFrame:
-    """One row (status): a fold over the models in order.
+    """One row (status), from the p-values above the limit, counted over the models in order.
 
-    With c the running count of p-values above the limit: none so far gives Good for a
-    model at the running best score and Mid otherwise; fewer than ``levels`` keeps Good
-    or gives Mid; exactly ``levels`` gives Bad; beyond that nothing changes.
+    Bad if the count is ``levels`` after some model. Else Good if the last model without any p-value above the limit
+    so far has the best score so far; Mid if it has not, or if there is no such model; null if there is no model.
     """
     order = F.create_map(*[F.lit(v) for i, m in enumerate(models) for v in (m, i)])
-    per_model = (
-        pvalues.groupBy("model")
-        .agg(F.count_if(F.col("p_value") > P_LIMIT).alias("above"))
-        .join(baseline, "model")
-        .withColumn("pos", F.element_at(order, F.col("model")))
+    above = pvalues.groupBy("model").agg(F.count_if(F.col("p_value") > P_LIMIT).alias("above"))
+    so_far = Window.partitionBy(F.lit(0)).orderBy("pos")  # one row per model
+    counted = above.join(baseline, "model").withColumn("pos", F.element_at(order, F.col("model"))).select(
+        "pos", F.sum("above").over(so_far).alias("c"), (F.col("score") >= F.greatest(F.lit(0.0), F.max("score").over(so_far))).alias("leads"),
     )
-    listed = per_model.agg(F.array_sort(F.collect_list(F.struct("pos", "above", "score"))).alias("m"))
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("c"), F.lit(0.0).alias("top"), F.lit(None).cast("string").alias("status")
+    clean_lead = F.max_by("leads", F.when(F.col("c") == 0, F.col("pos")))
+    return counted.agg(
+        F.when(F.bool_or(F.col("c") == levels), "Bad").when(clean_lead, "Good").when(F.bool_or(F.col("c") < levels), "Mid").alias("status")
     )
 
-    def step(acc: Column, m: Column) -> Column:
-        c = acc["c"] + m["above"]
-        top = F.greatest(acc["top"], m["score"])
-        kept = F.when(c == 0, F.when(m["score"] < top, F.lit("Repeat")).otherwise(F.lit("Good"))).otherwise(acc["status"])
-        good = F.coalesce(kept == "Good", F.lit(False))
-        status = F.when((c < levels) & ~good, F.lit("Mid")).when(c == levels, F.lit("Bad")).otherwise(kept)
-        return F.struct(c.alias("c"), top.alias("top"), status.alias("status"))
-
-    return listed.select(F.aggregate("m", start, step, lambda a: a["status"]).alias("status"))
-
 
 def association(
     rows: DataFrame,
