@@ -56,10 +56,11 @@ def test_encoder_is_exact():
 
     random.seed(5)
     letters = "abzA  \n\t'.,-_*#09éÉß́ İ日<>|̸ \x1c\x85ſK"
-    rows = ["".join(random.choice(letters) for _ in range(random.randint(0, 40))) for _ in range(3000)] + ["", "it's 'S we'LL", "<|endoftext|>a"]
+    rows = ["".join(random.choice(letters) for _ in range(random.randint(0, 40))) for _ in range(3000)] + ["", "it's 'S we'LL", " ", "\n", "  word  ", "x \n"]
+    marks = ["Éàß", " Œuvre", "×", "a÷", "ŉ", "İı", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|endof", "text|>", "hello", " ", "\n", "\u0130", "it's", "<", "W"]
+    rows += ["<|endof", "text|> b", "hello <|endoftext|> world"] + ["".join(random.choice(marks) for _ in range(random.randint(0, 9))) for _ in range(600)]
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         plain = Tokenizer.from_file(common.tokenizer_path(name))
-        plain.encode_special_tokens = True
         want = [e.ids for e in plain.encode_batch(rows, add_special_tokens=False)]
         coded, got = common.Encoder(common.tokenizer_path(name), limit=500), []
         for i in range(0, len(rows), 200):
@@ -68,6 +69,16 @@ def test_encoder_is_exact():
         assert got == want
 
 
+def test_encoder_is_exact_on_documents(texts):
+    from tokenizers import Tokenizer
+
+    rows = list(texts.values())
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        want = [e.ids for e in Tokenizer.from_file(common.tokenizer_path(name)).encode_batch(rows, add_special_tokens=False)]
+        ids, n = common.Encoder(common.tokenizer_path(name))(*common.text_bytes(pa.array(rows)))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+
+
 def test_components(spark):
     random.seed(2)
     pairs = [(random.randrange(60), random.randrange(60)) for _ in range(45)]

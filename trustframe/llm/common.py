@@ -163,30 +163,65 @@ class KnownPieces:
             slot[todo] = (slot[todo] + 1) & (len(self.slots) - 1)
 
 
+def plain_letters(data: np.ndarray) -> np.ndarray:
+    """Bytes of ASCII letters and of U+00C0 to U+017F, but the signs among them and the dotted I, whose lower case is two characters."""
+    lead = (data >= 0xC3) & (data <= 0xC5)
+    after = np.append(data[1:], np.uint8(0))
+    lead &= ~((data == 0xC3) & ((after == 0x97) | (after == 0xB7))) & ~((data == 0xC4) & (after == 0xB0))
+    follows = np.zeros(len(data), bool)
+    follows[1:] = lead[:-1]
+    return (_SIDE[data] == 1) | lead | follows
+
+
 class Encoder:
-    """Token ids of whole texts, by pieces that are encoded once.
+    """Token ids of whole texts as the tokenizers library gives them, by pieces that are encoded once.
 
-    A text is cut before a space or line feed that follows a visible ASCII character, and between an ASCII letter and
+    A text is cut before a space or line feed that follows a visible ASCII character or a letter up to U+017F, and between such a letter and
     a visible ASCII character that is no letter, digit or apostrophe. No token of the tokenizers used here spans such a place (their
     patterns let white space stand only at the start of a token and part letters from punctuation, and no
-    normal form joins across it), so the pieces' ids in a row are the text's ids. By the same rule new pieces that begin with such white
-    space and end in a visible ASCII character are encoded together, as one text, and told apart by the offsets of their tokens.
-    Up to ``limit`` pieces stay known to the worker process; a batch that would exceed it starts anew.
+    normal form joins across it), so the pieces' ids in a row are the text's ids. Added tokens (``<|endoftext|>``) are found first, in the text as it
+    is, and are pieces of their own. A tokenizer that drops white space gets pieces without the one before them.
+
+    New pieces are encoded many at once. Those of letters only are told apart by their tokens: the last one of a word has the tokenizer's
+    word end, or the first one its leading space. Others that begin with white space and end in a visible ASCII character
+    are told apart by the offsets of their tokens. Up to ``limit`` pieces stay known to the worker process; a batch that would exceed it starts anew.
     """
 
     #: Bytes of new pieces that are encoded as one text.
     JOINED = 1 << 17
 
     def __init__(self, path: str, limit: int = 1_000_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = {}
+        for number, token in self.tokenizer.get_added_tokens_decoder().items():
+            if token.normalized or token.lstrip or token.rstrip or token.single_word:
+                raise ValueError(f"added token {token.content} is not plain text")
+            self.added[token.content.encode()] = number
+        self.tokenizer.encode_special_tokens = True  # what is left between added tokens is ordinary text
         self.lower = "Lowercase()" in repr(self.tokenizer.normalizer)
+        self.spaceless = not self.tokenizer.encode(" \n", add_special_tokens=False).ids
+        self.words, self.mark = self.tokenizer, None
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        word_end = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if word_end and self.spaceless:
+            self.words = Tokenizer.from_file(path)
+            self.words.normalizer = normalizers.Lowercase() if self.lower else normalizers.Sequence([])
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.mark = self._marked(names, lambda token: token.endswith(word_end))
+        elif self.tokenizer.encode(" a", add_special_tokens=False).tokens[0].startswith("\u0120"):
+            self.mark = self._marked(names, lambda token: token.startswith("\u0120"))
         self.limit = limit
         self._forget()
 
+    @staticmethod
+    def _marked(names: dict[str, int], test) -> np.ndarray:
+        mark = np.zeros(max(names.values()) + 1, bool)
+        mark[[number for token, number in names.items() if test(token)]] = True
+        return mark
+
     def _forget(self) -> None:
         self.known = KnownPieces(self.limit)
         self.ids, self.starts, self.sizes = np.zeros(1024, np.uint32), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
@@ -205,7 +240,7 @@ class Encoder:
 
     def _encode_each(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         coded = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False) if pieces else []
-        fresh = [e.ids for e in coded]
+        fresh = [[self.added[p]] if p in self.added else e.ids for p, e in zip(pieces, coded)]
         sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
         return np.fromiter(chain.from_iterable(fresh), np.uint32, int(sizes.sum())), sizes
 
@@ -217,34 +252,80 @@ class Encoder:
         owner = np.searchsorted(letters[np.cumsum(sizes) - sizes], begins, "right") - 1
         return ids, np.bincount(owner, minlength=len(sizes)).astype(np.int64)
 
+    def _encode_words(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of letters only, without or with a space before each, as the tokenizer keeps it."""
+        if self.spaceless:
+            spaced = np.full(len(data) + len(sizes), 32, np.uint8)
+            spaced[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = data
+            data = spaced
+        ids = np.array(self.words.encode_batch_fast([data.tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.flatnonzero(self.mark[ids])
+        if len(at) != len(sizes):
+            raise AssertionError("words and marked tokens differ in number")
+        return ids, np.diff(at, prepend=-1) if self.spaceless else np.diff(at, append=len(ids))
+
     def _encode(self, data: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Numbers of the pieces at ``rows``, which are encoded now."""
         numbers = np.zeros(len(rows), np.int64)
         sizes = np.diff(offsets)[rows]
-        first, last = data[offsets[rows]], data[offsets[rows + 1] - 1]
-        together = ((first == 32) | (first == 10)) & (last > 32) & (last < 127)
-        joined, single = np.flatnonzero(together), np.flatnonzero(~together)
-        part = np.cumsum(sizes[joined]) // self.JOINED
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(joined)]
-        for i, j in zip(cuts, cuts[1:]):
-            some = joined[i:j]
-            if len(some):
-                numbers[some] = self._remember(*self._encode_joined(data[runs(offsets[rows[some]], sizes[some])], sizes[some]))
+        padded = np.append(data, np.uint8(0))  # an empty piece may stand at the end
+        first, last = padded[offsets[rows]], padded[np.maximum(offsets[rows + 1] - 1, 0)]
+        letters = np.append(0, np.cumsum(plain_letters(data)))
+        inner = letters[offsets[rows + 1]] - letters[offsets[rows]]
+        white = (first == 32) | (first == 10)
+        plain = (inner == sizes) if self.spaceless else (first == 32) & (inner == sizes - 1)
+        plain &= (inner > 0) & (self.mark is not None)
+        together = ~plain & white & (last > 32) & (last < 127) & (sizes > 1)
+        for some, how in ((np.flatnonzero(plain), self._encode_words), (np.flatnonzero(together), self._encode_joined)):
+            part = np.cumsum(sizes[some]) // self.JOINED
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(some)]
+            for i, j in zip(cuts, cuts[1:]):
+                if j > i:
+                    which = some[i:j]
+                    numbers[which] = self._remember(*how(data[runs(offsets[rows[which]], sizes[which])], sizes[which]))
+        single = np.flatnonzero(~plain & ~together)
         numbers[single] = self._remember(*self._encode_each([data[offsets[r]:offsets[r + 1]].tobytes() for r in rows[single]]))
         return numbers
 
+    def _added_at(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """Begin and end of all added tokens, none of which spans two rows; the first from the left counts, of equals the longest."""
+        blob, found = data.tobytes(), []
+        for token in self.added:
+            at = blob.find(token)
+            while at >= 0:
+                end = at + len(token)
+                if np.searchsorted(offsets, at, "right") == np.searchsorted(offsets, end - 1, "right"):
+                    found.append((at, -end))
+                at = blob.find(token, at + 1)
+        out, free = [], 0
+        for at, end in sorted(found):
+            if at >= free:
+                out.append((at, -end))
+                free = -end
+        return out
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after another, and the number of ids of each row; ``end_id`` closes each row."""
+        added = self._added_at(data, offsets)
         if self.lower:
             data = LOWER[data]
-        gap = np.zeros(len(data), bool)
+        gap = np.zeros(len(data) + 1, bool)
         if len(data) > 1:
-            last, side = data[:-1], _SIDE[data]
-            gap[1:] = ((data[1:] == 32) | (data[1:] == 10)) & (last > 32) & (last < 127)
-            gap[1:] |= (side[1:] + side[:-1] == 3)
+            letters = plain_letters(data)
+            last, side = data[:-1], np.where(letters, np.uint8(1), _SIDE[data])
+            gap[1:-1] = ((data[1:] == 32) | (data[1:] == 10)) & ((last > 32) & (last < 127) | letters[:-1])
+            gap[1:-1] |= (side[1:] + side[:-1] == 3)
+        for a, b in added:
+            gap[a:b + 1] = False
+            gap[[a, b]] = True
+        gap = gap[:-1]
         gap[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(gap)
         rows = np.searchsorted(offsets, starts, "right") - 1
+        if self.spaceless:
+            out = gap & ((data == 32) | (data == 10))
+            starts = starts - (np.cumsum(out) - out)[starts]
+            data = data[~out]
         coded = binary_array(data, np.append(starts, len(data))).dictionary_encode()
         which, (pieces, ends) = coded.indices.to_numpy(zero_copy_only=False), binary_parts(coded.dictionary)
         short, keys = self.known.keys_of(pieces, ends)

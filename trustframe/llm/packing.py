@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustframe.llm.common import binary_array, binary_parts, encoder, parts_for, runs, slices, text_bytes, text_volume
+from trustframe.llm.common import binary_array, binary_parts, encoder, parts_for, runs, slices, text_bytes
 from trustframe.operators.storage import settle
 
 WINDOW = 2048
 #: Ids of a shard, terms of the key by which documents are dealt, and neighbours looked at before all are ranked.
 SHARD_IDS, KEYS, FIRST = 1 << 20, 6, 64
+#: Sequence numbers from here on are full windows of single documents.
+FULL = 1 << 62
 K1, B = 1.2, 0.75
 
 
@@ -34,6 +37,11 @@ class Statistics:
     docs: int
     mean: float
 
+    @cached_property
+    def draws(self) -> np.ndarray:
+        """KEYS exponential draws of each term."""
+        return np.stack([np.random.default_rng(k).exponential(size=len(self.df)) for k in range(KEYS)])
+
     def weights(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, counts: np.ndarray) -> np.ndarray:
         idf = np.log1p((self.docs - self.df + 0.5) / (self.df + 0.5))
         length = K1 * (1 - B + B * counts / max(self.mean, 1))
@@ -50,7 +58,7 @@ class Statistics:
         owners, first = np.unique(doc, return_index=True)
         out = np.zeros((len(counts), KEYS), ">u4")
         for k in range(KEYS if len(owners) else 0):
-            draw = np.random.default_rng(k).exponential(size=len(self.df))[term] / np.maximum(weight, 1e-12)
+            draw = self.draws[k][term] / np.maximum(weight, 1e-12)
             least = np.minimum.reduceat(draw, first)
             hits = np.flatnonzero(draw == np.repeat(least, np.diff(np.append(first, len(doc)))))
             out[owners, k] = term[hits[np.searchsorted(doc[hits], owners)]] + 1
@@ -58,7 +66,7 @@ class Statistics:
 
 
 class Index:
-    """Inverted BM25 index of one shard: postings by term, each with its weight."""
+    """Inverted BM25 index of one shard: postings by term, each with its weight; terms of a tenth of the documents as rows of a matrix."""
 
     def __init__(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, counts: np.ndarray, known: Statistics):
         n = len(counts)
@@ -66,16 +74,26 @@ class Index:
         _, term_no, df = np.unique(term, return_inverse=True, return_counts=True)
         first = np.searchsorted(doc, np.arange(n + 1))
         self.query = [term_no[first[d]:first[d + 1]] for d in range(n)]
-        by_term = np.argsort(term_no, kind="stable")
+        common = np.flatnonzero(df * 10 >= n)
+        self.row = np.full(len(df), -1)
+        self.row[common] = np.arange(len(common))
+        rare = self.row[term_no] < 0
+        self.matrix = np.zeros((len(common), n))
+        self.matrix[self.row[term_no[~rare]], doc[~rare]] = weight[~rare]
+        self.df = np.where(self.row < 0, df, 0)
+        by_term = np.flatnonzero(rare)[np.argsort(term_no[rare], kind="stable")]
         self.doc, self.weight = doc[by_term], weight[by_term]
-        self.starts, self.df = np.append(0, np.cumsum(df)), df
+        self.starts = np.append(0, np.cumsum(self.df))
         self.n = n
 
     def scores(self, seed: int) -> np.ndarray:
         """Of each document, the sum of its weights of all terms of the seed."""
         terms = self.query[seed]
+        asked = np.zeros(len(self.matrix))
+        asked[self.row[terms[self.row[terms] >= 0]]] = 1
+        terms = terms[self.row[terms] < 0]
         at = runs(self.starts[terms], self.df[terms])
-        return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
+        return asked @ self.matrix + np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
 
 
 def ranked(scores: np.ndarray, left: np.ndarray):
@@ -90,21 +108,14 @@ def ranked(scores: np.ndarray, left: np.ndarray):
     yield from left[np.argsort(-scores[left], kind="stable")]
 
 
-def pack_shard(index: Index, counts: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of all pieces of a shard.
+def pack_shard(index: Index, rest: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+    """(document, start, length, sequence, offset) of all pieces of a shard; no document has more than a window.
 
-    Documents of a window or more fill windows of their own first. Of what is left the longest document is the next
-    seed; its best unused neighbours that fit follow whole, and the next one is cut to fill the rest. So all
+    The longest document is the next seed; its best unused neighbours that fit follow whole, and the next one is cut to fill the rest. So all
     windows are full but the last, which is cut into sequences whose lengths are powers of two.
     """
-    n, out, sequence = len(counts), [], 0
-    start = np.zeros(n, np.int64)
-    for d in np.flatnonzero(counts >= window):
-        for at in range(0, counts[d] - window + 1, window):
-            out.append((d, at, window, sequence, 0))
-            sequence += 1
-        start[d] = counts[d] // window * window
-    rest = counts - start
+    n, out, sequence = len(rest), [], 0
+    start, rest = np.zeros(n, np.int64), rest.copy()
     unused = rest > 0
     seeds = np.lexsort((np.arange(n), -rest))
     last: list[tuple[int, int, int]] = []
@@ -220,58 +231,92 @@ def statistics(coded: DataFrame) -> Statistics:
     return Statistics(df, docs, size / max(docs, 1))
 
 
-def keyed(coded: DataFrame, known: Statistics) -> DataFrame:
+def full_windows(coded: DataFrame, width: np.dtype) -> DataFrame:
+    """The leading pieces of WINDOW ids of all documents that have so many: sequences of their own."""
+    def cut(batches):
+        from pyspark import TaskContext
+
+        sequence = FULL + (TaskContext.get().partitionId() << 40)
+        for b in slices(batches, "ids"):
+            got, sizes = read_ids(b.column("ids"), width)
+            windows = sizes // WINDOW
+            doc = np.repeat(np.arange(len(sizes)), windows)
+            start = runs(np.zeros(len(sizes), np.int64), windows) * WINDOW
+            flat, begin = got.astype("<u4"), np.cumsum(sizes) - sizes
+            crc = np.fromiter((zlib.crc32(flat[a:a + WINDOW]) for a in (begin[doc] + start).tolist()), np.int64, len(doc))
+            same = np.full(len(doc), WINDOW)
+            columns = (start, same, crc, sizes[doc], sequence + np.arange(len(doc)), np.zeros(len(doc), np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), *map(pa.array, columns)], [f.split()[0] for f in OUT.split(", ")])
+            sequence += len(doc)
+
+    return coded.select("doc_id", "ids").where(F.octet_length("ids") >= WINDOW * width.itemsize).mapInArrow(cut, OUT)
+
+
+def tails(coded: DataFrame, width: np.dtype) -> DataFrame:
+    """Of each document the ids after its full windows, if any: at most WINDOW - 1; from: how many come before."""
+    size, window = F.octet_length("ids"), WINDOW * width.itemsize
+    whole = size - size % window
+    return coded.where(size % window > 0).select(
+        "doc_id", "mark", F.expr(f"substring(ids, octet_length(ids) - octet_length(ids) % {window} + 1)").alias("ids"), "terms",
+        (whole / width.itemsize).cast("long").alias("from"),
+    )
+
+
+def keyed(rows: DataFrame, known: Statistics) -> DataFrame:
     """Adds to each document the terms by which it is dealt."""
     def add(batches):
-        for b in slices(batches, "ids"):
+        for b in slices(batches, "terms"):
             keys = known.keys(*read_terms(b.column("terms")))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], [*b.schema.names, "key"])
 
-    return coded.mapInArrow(add, f"{CODED}, key binary")
+    return rows.mapInArrow(add, f"{CODED}, from bigint, key binary")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Packs (doc_id, text) into sequences of at most 2048 ids; returns the pieces.
 
-    A document is its ids and ``end_id``; null is an empty text. Terms are ids; their document frequencies and the mean length
+    A document is its ids and ``end_id``; null is an empty text. As long as a document has 2048 ids, they are a sequence; what is left is packed
+    with its neighbours. Terms are ids; a document's are those of its whole text, and their document frequencies and the mean length
     are counted over all documents. Rows are ordered by weighted MinHash values of their terms and dealt by
     ranges of that order, so related documents and copies stand together whatever their doc_id, and a frequent value is cut at the
-    next, at last by hash of (doc_id, text). A task takes documents up to ``shard_ids`` ids as one shard, however
+    next, at last by hash of (doc_id, text). A task takes rows up to ``shard_ids`` ids as one shard, however
     many rows it has. Repeated rows are packed each. sequence_id is unique over all tasks. An empty table gives an
     empty result.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts, width = parts_for(text_volume(rows), rows, 32 << 20), id_type(tokenizer)
+    width = id_type(tokenizer)
     coded = settle(encoded(rows.withColumn("mark", F.xxhash64("doc_id", "text")), tokenizer, end_id), "ids")
     known = statistics(coded)
     order = ["key", "mark", "doc_id"]
-    dealt = keyed(coded, known).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rest = tails(coded, width)
+    volume = rest.agg(F.coalesce(F.sum(F.octet_length("ids") + F.octet_length("terms")), F.lit(0)).alias("n")).first()["n"]
+    dealt = keyed(rest, known).repartitionByRange(parts_for(volume, rows, 32 << 20), *order).sortWithinPartitions(*order)
 
     def pack(batches):
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 40
-        held, names, ids, counts, terms = 0, [], [], [], []
+        held, names, befores, ids, counts, terms = 0, [], [], [], [], []
 
         def shard():
-            nonlocal first, held, names, ids, counts, terms
-            flat, sizes = np.concatenate(ids), np.concatenate(counts)
+            nonlocal first, held, names, befores, ids, counts, terms
+            flat, sizes, before = np.concatenate(ids).astype("<u4"), np.concatenate(counts), np.concatenate(befores)
             begin = np.cumsum(sizes) - sizes
-            doc, term, tf, _ = read_terms(pa.chunked_array(terms).combine_chunks())
-            pieces = pack_shard(Index(doc, term, tf, sizes, known), sizes)
+            doc, term, tf, total = read_terms(pa.chunked_array(terms).combine_chunks())
+            pieces = pack_shard(Index(doc, term, tf, total, known), sizes)
             doc, start, length, sequence, offset = (np.asarray(c, np.int64) for c in zip(*pieces))
-            flat = flat.astype("<u4")
-            crc = [zlib.crc32(flat[a:a + n].tobytes()) for a, n in zip(begin[doc] + start, length)]
+            crc = [zlib.crc32(flat[a:a + n]) for a, n in zip(begin[doc] + start, length)]
             owners = pa.array(names, pa.int64()).take(pa.array(doc))
-            out = [owners, *map(pa.array, (start, length, np.asarray(crc, np.int64), sizes[doc], sequence + first, offset))]
+            out = [owners, *map(pa.array, (before[doc] + start, length, np.asarray(crc, np.int64), total[doc], sequence + first, offset))]
             first += int(sequence.max()) + 1
-            held, names, ids, counts, terms = 0, [], [], [], []
+            held, names, befores, ids, counts, terms = 0, [], [], [], [], []
             return pa.RecordBatch.from_arrays(out, [f.split()[0] for f in OUT.split(", ")])
 
-        for b in slices(batches, "ids"):
+        for b in slices(batches, "terms"):
             got, sizes = read_ids(b.column("ids"), width)
             ids.append(got)
             counts.append(sizes)
+            befores.append(b.column("from").to_numpy())
             terms.append(b.column("terms").cast(pa.large_binary()))
             names += b.column("doc_id").to_pylist()
             held += len(got)
@@ -280,4 +325,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_ids:
         if names:
             yield shard()
 
-    return dealt.mapInArrow(pack, OUT)
+    return full_windows(coded, width).unionByName(dealt.mapInArrow(pack, OUT))
