@@ -332,11 +332,11 @@ def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     turns = steps(rows)
     joints = borders(turns)
-    found = cheapest_edits(turns, joints)
+    found = settle(cheapest_edits(turns, joints), "edits")
     texts = cleaned(rows).select("row", F.struct("role", "text").alias("was")).groupBy("row").agg(F.first("was").alias("was"))
-    full = found.join(texts.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left").select(
-        "conv_id", "part", "step", "edit", "times", "cost", F.coalesce("role", "was.role").alias("role"), F.coalesce("was.text", F.lit("")).alias("text"),
-    )
+    columns = ["conv_id", "part", "step", "edit", "times", "cost"]
+    held = found.where("row IS NOT NULL").join(texts, "row").select(*columns, F.coalesce("role", "was.role").alias("role"), F.col("was.text").alias("text"))
+    full = held.unionByName(found.where("row IS NULL").select(*columns, "role", F.lit("").alias("text")))
     return faults(turns, joints), full
 
 
