@@ -193,7 +193,7 @@ for _name, (_r, _e) in RULES.items():
 
 # ---- dynamic selection: three members on feature blocks ----
 
-BLOCKS = [list(range(0, 8)), list(range(8, 16)), list(range(16, 24))]
+BLOCKS = [list(range(0, 22)), list(range(22, 43)), list(range(43, 64))]
 SELECT = [POINTS, HALVES, *[gnb_cte([], [i + 1 for i in b], f"m{j}", test="halves") for j, b in enumerate(BLOCKS)],
   "votes AS (" + " UNION ALL ".join(f"SELECT {j} AS member, row_id, y_true, y_pred FROM m{j}" for j in range(3)) + ")",
   """near AS (SELECT * FROM (SELECT q.row_id AS q, b.row_id AS other, row_number() OVER (PARTITION BY q.row_id ORDER BY list_distance(q.x, b.x), b.row_id) AS rk
@@ -306,11 +306,11 @@ def _regression(spark, folder):
     return rows, regression.fit_folds(rows, 1)
 
 
-@query(with_(STATUS, REG, "g AS (SELECT id, 1 + " + hash_sql("1410", "'guess'", "0", "id") + " % 49 AS q FROM (SELECT unnest(range(1000)) AS id))",
+@query(with_(STATUS, REG, "g AS (SELECT id, 1 + " + hash_sql("1410", "'guess'", "0", "id") + " % 49 AS q FROM (SELECT unnest(range(100000)) AS id))",
   select="SELECT CAST(q AS DOUBLE) AS x, round(a + b * q, 3) AS y_hat FROM g, w ORDER BY a + b * q, id LIMIT 1"))
 def monte_carlo_min(spark, folder):
     rows, model = _regression(spark, folder)
-    found = regression.monte_carlo_min(rows, model, [(1, 50)], 1000)
+    found = regression.monte_carlo_min(rows, model, [(1, 50)])
     return found.select(F.get("x", F.lit(0)).alias("x"), F.round("y_hat", 3).alias("y_hat"))
 
 

@@ -275,29 +275,25 @@ def boost_predict(spark, folder):
     return _predict(Boosting(rounds=3, depth=2), vectors(spark, folder), 4, 3)
 
 
-# ---- diversity of the three models on the collection's ASIA dataset ----
+# ---- diversity of the three models on each dataset of the collection ----
 
-ONE = CV + """,
-  one AS (SELECT * FROM pred WHERE dataset = 'ASIA'),
-  pairs AS (SELECT a.model AS model_a, b.model AS model_b, count(*) FILTER (NOT ka AND NOT kb) AS n00, count(*) FILTER (NOT ka AND kb) AS n01,
-    count(*) FILTER (ka AND NOT kb) AS n10, count(*) FILTER (ka AND kb) AS n11 FROM (SELECT *, y_true = y_pred AS ka FROM one) a
-    JOIN (SELECT *, y_true = y_pred AS kb FROM one) b USING (row_id) GROUP BY ALL),
+EACH = CV + """,
+  pairs AS (SELECT dataset, a.model AS model_a, b.model AS model_b, count(*) FILTER (NOT ka AND NOT kb) AS n00, count(*) FILTER (NOT ka AND kb) AS n01,
+    count(*) FILTER (ka AND NOT kb) AS n10, count(*) FILTER (ka AND kb) AS n11 FROM (SELECT *, y_true = y_pred AS ka FROM pred) a
+    JOIN (SELECT *, y_true = y_pred AS kb FROM pred) b USING (dataset, row_id) GROUP BY ALL),
   half AS (SELECT * FROM pairs WHERE model_a < model_b)"""
+TABLE = ["n00", "n01", "n10", "n11"]
+BY = ["dataset"]
 
 
-@kept
-def one(spark, folder):
-    return settle(predicted(spark, folder).where("dataset = 'ASIA'"), "one")
-
-
-@query(with_(ONE, select="SELECT * FROM half"))
+@query(with_(EACH, select=f"SELECT dataset, model_a, model_b, {', '.join(TABLE)} FROM half"))
 def pair_tables(spark, folder):
-    return diversity.pair_tables(one(spark, folder))
+    return diversity.pair_tables(predicted(spark, folder), keys=BY)
 
 
-@query(with_(ONE, select="SELECT * FROM pairs"))
+@query(with_(EACH, select=f"SELECT dataset, model_a, model_b, {', '.join(TABLE)} FROM pairs"))
 def pair_tables_full(spark, folder):
-    return diversity.pair_tables(one(spark, folder), full=True)
+    return diversity.pair_tables(predicted(spark, folder), full=True, keys=BY)
 
 
 Q = "(n11 * n00 - n01 * n10) / CASE WHEN n11 * n00 + n01 * n10 = 0 THEN 1e-12 ELSE n11 * n00 + n01 * n10 END"
@@ -311,33 +307,35 @@ MEASURES = {
 
 
 def _measure(name: str, column: str, expr: str) -> None:
-    @query(with_(ONE, select=f"SELECT model_a, model_b, round({expr}, 6) AS {column} FROM half"), name=name)
+    @query(with_(EACH, select=f"SELECT dataset, model_a, model_b, round({expr}, 6) AS {column} FROM half"), name=name)
     def run(spark, folder):
-        found = diversity.pair_measures(one(spark, folder))
-        return found.select("model_a", "model_b", F.round(column, 6).alias(column))
+        found = diversity.pair_measures(predicted(spark, folder), keys=BY)
+        return found.select("dataset", "model_a", "model_b", F.round(column, 6).alias(column))
 
 
 for _name, (_column, _expr) in MEASURES.items():
     _measure(_name, _column, _expr)
 
-ENTROPY = "ent AS (SELECT avg((1 - abs(c - 1)) / 1.5) AS e, avg(c / 3) AS p FROM (SELECT row_id, count(*) FILTER (y_true = y_pred) AS c FROM one GROUP BY row_id))"
-SUMMARY = f"""summary AS (SELECT (SELECT e FROM ent) AS entropy, 1 - avg({DIS}) / (2 * (SELECT p * (1 - p) FROM ent)) AS kappa,
-  2.0 / 6 * avg({DIS}) AS kw_variance, avg({DIS}) AS disagreement, avg({Q}) AS q_statistic FROM half)"""
+SUMMED = ["entropy", "kappa", "kw_variance", "disagreement", "q_statistic"]
+ENTROPY = """ent AS (SELECT dataset, avg((1 - abs(c - 1)) / 1.5) AS e, avg(c / 3) AS p
+    FROM (SELECT dataset, row_id, count(*) FILTER (y_true = y_pred) AS c FROM pred GROUP BY dataset, row_id) GROUP BY dataset)"""
+SUMMARY = f"""summary AS (SELECT dataset, any_value(e) AS entropy, 1 - avg({DIS}) / (2 * any_value(p * (1 - p))) AS kappa, 2.0 / 6 * avg({DIS}) AS kw_variance,
+    avg({DIS}) AS disagreement, avg({Q}) AS q_statistic FROM half JOIN ent USING (dataset) GROUP BY dataset)"""
 
 
 def _summary(columns):
     out = ", ".join(f"round({c}, 6) AS {c}" for c in columns)
-    return with_(ONE, ENTROPY, SUMMARY, select=f"SELECT {out} FROM summary")
+    return with_(EACH, ENTROPY, SUMMARY, select=f"SELECT dataset, {out} FROM summary")
 
 
 def _summarised(spark, folder, columns):
-    found = diversity.diversity_summary(one(spark, folder))
-    return found.select(*[F.round(c, 6).alias(c) for c in columns])
+    found = diversity.diversity_summary(predicted(spark, folder), keys=BY)
+    return found.select("dataset", *[F.round(c, 6).alias(c) for c in columns])
 
 
 @query(_summary(["entropy"]))
 def entropy_e(spark, folder):
-    return diversity.entropy_e(one(spark, folder)).withColumn("entropy", F.round("entropy", 6))
+    return diversity.entropy_e(predicted(spark, folder), keys=BY).withColumn("entropy", F.round("entropy", 6))
 
 
 @query(_summary(["kw_variance"]))
@@ -350,39 +348,25 @@ def interrater_k(spark, folder):
     return _summarised(spark, folder, ["kappa"])
 
 
-@query(_summary(["entropy", "kappa", "kw_variance", "disagreement", "q_statistic"]))
+@query(_summary(SUMMED))
 def diversity_summary(spark, folder):
-    return _summarised(spark, folder, ["entropy", "kappa", "kw_variance", "disagreement", "q_statistic"])
+    return _summarised(spark, folder, SUMMED)
 
 
-# ---- the same over all five datasets of the collection ----
-
-EACH = CV + """,
-  pairs AS (SELECT dataset, a.model AS model_a, b.model AS model_b, count(*) FILTER (NOT ka AND NOT kb) AS n00, count(*) FILTER (NOT ka AND kb) AS n01,
-    count(*) FILTER (ka AND NOT kb) AS n10, count(*) FILTER (ka AND kb) AS n11 FROM (SELECT *, y_true = y_pred AS ka FROM pred) a
-    JOIN (SELECT *, y_true = y_pred AS kb FROM pred) b USING (dataset, row_id) GROUP BY ALL)"""
-TABLE = ["n00", "n01", "n10", "n11"]
+# ---- the same tables with all measures at once ----
 
 
 @query(with_(EACH, select=f"SELECT dataset, model_a, model_b, {', '.join(TABLE)} FROM pairs"))
 def pair_tables_by_dataset(spark, folder):
-    return diversity.pair_tables(predicted(spark, folder), full=True, keys=["dataset"])
+    return diversity.pair_tables(predicted(spark, folder), full=True, keys=BY)
 
 
-@query(with_(EACH, select="SELECT dataset, model_a, model_b, " + ", ".join(f"round({e}, 6) AS {c}" for c, e in MEASURES.values()) + " FROM pairs WHERE model_a < model_b"))
+@query(with_(EACH, select="SELECT dataset, model_a, model_b, " + ", ".join(f"round({e}, 6) AS {c}" for c, e in MEASURES.values()) + " FROM half"))
 def pair_measures_by_dataset(spark, folder):
-    found = diversity.pair_measures(predicted(spark, folder), keys=["dataset"])
+    found = diversity.pair_measures(predicted(spark, folder), keys=BY)
     return found.select("dataset", "model_a", "model_b", *[F.round(c, 6).alias(c) for c, _ in MEASURES.values()])
 
 
-SUMMED = ["entropy", "kappa", "kw_variance", "disagreement", "q_statistic"]
-
-
-@query(with_(EACH, """ent AS (SELECT dataset, avg((1 - abs(c - 1)) / 1.5) AS e, avg(c / 3) AS p
-    FROM (SELECT dataset, row_id, count(*) FILTER (y_true = y_pred) AS c FROM pred GROUP BY dataset, row_id) GROUP BY dataset)""",
-  f"""summary AS (SELECT dataset, any_value(e) AS entropy, 1 - avg({DIS}) / (2 * any_value(p * (1 - p))) AS kappa, 2.0 / 6 * avg({DIS}) AS kw_variance,
-    avg({DIS}) AS disagreement, avg({Q}) AS q_statistic FROM pairs JOIN ent USING (dataset) WHERE model_a < model_b GROUP BY dataset)""",
-  select="SELECT dataset, " + ", ".join(f"round({c}, 6) AS {c}" for c in SUMMED) + " FROM summary"))
+@query(_summary(SUMMED))
 def diversity_by_dataset(spark, folder):
-    found = diversity.diversity_summary(predicted(spark, folder), keys=["dataset"])
-    return found.select("dataset", *[F.round(c, 6).alias(c) for c in SUMMED])
+    return _summarised(spark, folder, SUMMED)

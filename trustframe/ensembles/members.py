@@ -8,6 +8,7 @@ scored by all members where it is: voting needs neither a join nor a shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,14 +34,17 @@ class Ensemble:
         subspaces: DataFrame | None = None,
     ) -> Ensemble:
         """``train`` has (member, x, y[, w]); with ``subspaces`` (member, features) it has
-        (x, y[, w]) and every member sees all rows through its features."""
-        if subspaces is not None:
-            subs = settle_small(subspaces.select("member", "features"), "subspaces")
-            train = project(train, subs)
-            dim = subs.select(F.size("features").alias("d")).first()["d"]
-        model = learner.fit(train, ["member"], dim, n_classes)
-        if subspaces is not None:
-            model = model.join(subs, "member")
+        (x, y[, w]) and every member sees all rows through its features; members of equally many
+        features are trained together."""
+        if subspaces is None:
+            model = learner.fit(train, ["member"], dim, n_classes)
+        else:
+            subs = settle_small(subspaces.select("member", "features", F.size("features").alias("d")), "subspaces")
+            parts = []
+            for size in sorted(r["d"] for r in subs.select("d").distinct().collect()):
+                some = subs.where(F.col("d") == size).drop("d")
+                parts.append(learner.fit(project(train, some), ["member"], size, n_classes).join(some, "member"))
+            model = reduce(DataFrame.unionByName, parts)
         fields = [c for c in model.columns if c != "member"]
         listed = F.collect_list(F.struct("member", *fields))
         packed = model.agg(F.array_sort(listed, lambda a, b: a["member"] - b["member"]).alias("members"))

@@ -88,12 +88,12 @@ def _pattern_size() -> Column:
     return F.size("pattern")
 
 
-def entropy_e(predictions: DataFrame) -> DataFrame:
-    """mean((L//2 - |right - L//2|) / (L/2)) over rows, L models."""
+def entropy_e(predictions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """mean((L//2 - |right - L//2|) / (L/2)) over rows, L models; one row, or one for each value of ``keys``."""
     right = F.aggregate("pattern", F.lit(0), lambda acc, p: acc + p["ok"])
     half = F.floor(_pattern_size() / 2)
     value = (half - F.abs(right - half)) / (_pattern_size() / 2.0)
-    return hit_patterns(predictions).agg((F.sum(value * F.col("n")) / F.sum("n")).alias("entropy"))
+    return hit_patterns(predictions, keys).groupBy(*keys).agg((F.sum(value * F.col("n")) / F.sum("n")).alias("entropy"))
 
 
 def diversity_summary(predictions: DataFrame, p: float | None = None, keys: Sequence[str] = ()) -> DataFrame:
