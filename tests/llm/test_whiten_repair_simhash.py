@@ -62,7 +62,7 @@ def test_whitening_edges(spark):
 
 
 def test_whitening_over_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(whitening, "ROWS", 7)
+    monkeypatch.setattr(whitening, "NUMBERS", 21)
     monkeypatch.setattr(whitening, "COLUMNS", 3)
     monkeypatch.setattr(whitening, "MIDDLE", 2)
     x = np.random.default_rng(4).integers(0, 900, (60, 8)) + 10**6

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from trustframe.operators.storage import settle, with_row
 
-#: Rows of a block, columns of a block at most, blocks that one piece of a product adds up, components returned.
-ROWS, COLUMNS, MIDDLE, KEPT = 1024, 1024, 64, 32
+#: Numbers of a block, its columns at most, blocks that one piece of a product adds up, components returned.
+NUMBERS, COLUMNS, MIDDLE, KEPT = 1 << 18, 1024, 16, 32
 #: Components whose variance is below this share of the largest have none but rounding errors.
 RANK = 1e-12
 
@@ -35,10 +36,15 @@ def numbered(rows: DataFrame) -> DataFrame:
     return placed.join(table, "part").withColumn("i", F.col("before") + F.col("at") - F.shiftleft("part", 33)).drop("part", "at", "before")
 
 
+def block_rows(dim: int) -> int:
+    """Rows of a block: as many as NUMBERS allows. The driver lists the blocks (not their contents) when it plans a product."""
+    return max(1, NUMBERS // min(dim, COLUMNS))
+
+
 def block_matrix(rows: DataFrame, n: int, dim: int) -> BlockMatrix:
-    """The block matrix of rows (i, v); v is an array of doubles."""
+    """The block matrix of rows (i, v); v is an array of doubles. Kept on the executors that built it; what is lost is built again from the settled rows."""
     vectors = rows.select(F.col("i").alias("index"), array_to_vector("v").alias("vector"))
-    return IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "vector"), n, dim).toBlockMatrix(ROWS, min(dim, COLUMNS))
+    return IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "vector"), n, dim).toBlockMatrix(block_rows(dim), min(dim, COLUMNS)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def product(left: BlockMatrix, right: BlockMatrix, splits: int = 1) -> BlockMatrix:
@@ -47,9 +53,13 @@ def product(left: BlockMatrix, right: BlockMatrix, splits: int = 1) -> BlockMatr
     return BlockMatrix(found, left.rowsPerBlock, right.colsPerBlock)
 
 
+def released(matrix: BlockMatrix) -> None:
+    matrix._java_matrix_wrapper._java_model.blocks().unpersist(False)
+
+
 def scatter(matrix: BlockMatrix, n: int) -> np.ndarray:
     """Transpose of the matrix times itself: dim x dim numbers, whatever the number of rows."""
-    return product(matrix.transpose(), matrix, max(1, -(-n // (ROWS * MIDDLE)))).toLocalMatrix().toArray()
+    return product(matrix.transpose(), matrix, max(1, -(-n // (matrix.rowsPerBlock * MIDDLE)))).toLocalMatrix().toArray()
 
 
 def local_blocks(matrix: np.ndarray, like: DataFrame, rows: int) -> BlockMatrix:
@@ -99,11 +109,15 @@ def whiten(rows: DataFrame, kept: int = KEPT) -> DataFrame:
     covariance = scatter(matrix, n) / n
     value, vector = components(covariance, kept)
     if not len(value):
+        released(matrix)
         return empty
     projected = product(matrix, local_blocks(vector / np.sqrt(value), rows, min(dim, COLUMNS))).toIndexedRowMatrix()
     found = callMLlibFunc("getIndexedRows", projected._java_matrix_wrapper._java_model)
     found = settle(found.select(F.col("index").alias("i"), vector_to_array("vector").alias("v")), "whitened")
-    error = np.abs(scatter(block_matrix(found, n, len(value)), n) / n - np.eye(len(value))).max()
+    released(matrix)
+    matrix = block_matrix(found, n, len(value))
+    error = np.abs(scatter(matrix, n) / n - np.eye(len(value))).max()
+    released(matrix)
     share = F.array(*[F.lit(float(e)) for e in value / np.trace(covariance)])
     joined = centred.select("i", "vec_id", "deviation").join(found, "i")
     return joined.select("vec_id", "deviation", F.posexplode("v").alias("k", "whitened")).select(
