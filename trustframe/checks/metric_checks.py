@@ -27,42 +27,50 @@ DIMS = range(1, 65)
 
 
 def splits_sql(fractions: str, runs: int) -> str:
-    return f"""copies AS (SELECT row_id, x, y, CAST(f.i AS INTEGER) AS frac_id, CAST(r.rep AS INTEGER) AS rep, f.fr FROM vectors,
-      (SELECT unnest(range(len({fractions}))) AS i, unnest({fractions}) AS fr) f, (SELECT unnest(range({runs})) AS rep) r),
-  marked AS (SELECT *, row_number() OVER (PARTITION BY frac_id, rep, y ORDER BY {md5_sql('1410', 'frac_id', 'rep', 'row_id')}, row_id)
-      <= greatest(1, round_even(fr * count(*) OVER (PARTITION BY frac_id, rep, y), 0)) AS is_train FROM copies),
+    """Nested splits: one order per run and class, whatever the fraction."""
+    return f"""ranked AS (SELECT row_id, x, y, CAST(rep AS INTEGER) AS rep, count(*) OVER (PARTITION BY rep, y) AS n,
+      row_number() OVER (PARTITION BY rep, y ORDER BY {md5_sql('1410', 'rep', 'row_id')}, row_id) AS rank FROM vectors, (SELECT unnest(range({runs})) AS rep)),
+  marked AS (SELECT row_id, x, y, rep, CAST(f.i AS INTEGER) AS frac_id, rank <= greatest(1, round_even(f.fr * n, 0)) AS is_train
+      FROM ranked, (SELECT unnest(range(len({fractions}))) AS i, CAST(unnest({fractions}) AS DOUBLE) AS fr) f),
   train AS (SELECT * FROM marked WHERE is_train), test AS (SELECT * FROM marked WHERE NOT is_train)"""
 
 
-@query(with_(POINTS, splits_sql("[0.9, 0.5]", 5), centroid_cte(["frac_id", "rep"], DIMS), f1_cte(["frac_id", "rep"], "cpred"),
+FK = ["frac_id", "rep"]
+
+
+@query(with_(POINTS, splits_sql("[0.9, 0.5]", 5), centroid_cte(FK, DIMS), f1_cte(FK, "cpred"),
   select="SELECT frac_id, rep, round(f1, 6) AS f1 FROM f1"))
 def redundancy_probe(spark, folder):
     found = red.split_scores(points(spark, folder), NearestCentroid(), [0.9, 0.5], 5, 64, 10)
     return found.withColumn("f1", F.round("f1", 6))
 
 
-GRID = "[0.001, 0.01, 0.1, 0.2, 0.5, 0.75, 0.9]"
-GRID_SQL = with_(POINTS, splits_sql(GRID, 5), centroid_cte(["frac_id", "rep"], DIMS), f1_cte(["frac_id", "rep"], "cpred"),
-  f"graded AS (SELECT {GRID}[frac_id + 1] AS fraction, f1, max(f1) FILTER ({GRID}[frac_id + 1] = 0.9) OVER () AS best FROM f1)",
-  "passed AS (SELECT CAST(fraction AS DOUBLE) AS fraction, bool_and(best - f1 < 0.01 * best) AS ok FROM graded GROUP BY fraction)",
-  select="SELECT min(fraction) FILTER (ok) AS fraction, round(1 - min(fraction) FILTER (ok), 6) AS redundancy FROM passed")
+def both_sql(fractions: str) -> str:
+    """``scored`` (model, fraction, f1) of both closed-form learners and ``top`` (best)."""
+    return ",\n".join([POINTS, splits_sql(fractions, 5), centroid_cte(FK, DIMS), f1_cte(FK, "cpred", "cf"), gnb_cte(FK, DIMS), f1_cte(FK, "gpred", "gf"),
+      f"""scored AS (SELECT model, CAST({fractions}[frac_id + 1] AS DOUBLE) AS fraction, f1 FROM
+        (SELECT 'centroid' AS model, frac_id, f1 FROM cf UNION ALL SELECT 'gnb', frac_id, f1 FROM gf))""",
+      "top AS (SELECT max(f1) AS best FROM scored WHERE fraction = 0.9)",
+      "passed AS (SELECT model, fraction, bool_and(best - f1 < 0.01 * best) AS ok FROM scored, top GROUP BY model, fraction)"])
 
 
-@query(GRID_SQL)
+@query(with_(both_sql("[0.001, 0.01, 0.1, 0.2, 0.5, 0.75, 0.9]"),
+  select="SELECT min(fraction) FILTER (ok) AS fraction, round(1 - min(fraction) FILTER (ok), 6) AS redundancy FROM passed"))
 def redundancy_grid(spark, folder):
-    found = red.redundancy_grid(points(spark, folder), {"centroid": NearestCentroid()}, 64, 10)
+    found = red.redundancy_grid(points(spark, folder), POOL, 64, 10)
     return found.withColumn("redundancy", F.round("redundancy", 6))
 
 
 @query()
 def redundancy(spark, folder):
-    return red.redundancy(vectors(spark, folder), {"centroid": NearestCentroid()}, 4, 3)[0]
+    """Three learners at the defaults: 5 runs, tolerance 0.01, 7 halvings."""
+    return red.redundancy(vectors(spark, folder), {**POOL, "tree": DecisionTree()}, 4, 3)[0]
 
 
 @query()
 def redundancy_tree(spark, folder):
-    """A stacked tree: scores of three runs at two fractions, trained in one job per level."""
-    return red.split_scores(points(spark, folder), DecisionTree(depth=3), [0.9, 0.5], 3, 64, 10)
+    """A stacked tree: scores of all runs and fractions of the grid, trained in one job per level."""
+    return red.split_scores(points(spark, folder), DecisionTree(depth=3), red.GRID, red.RUNS, 64, 10)
 
 
 BASELINE = ",\n".join([POINTS, folds_cte("vectors", 2, out="btest"), train_cte(2, "btest", "btrain"),

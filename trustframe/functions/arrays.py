@@ -38,6 +38,16 @@ def take(x: Column, indices: Column) -> Column:
     return F.transform(indices, lambda i: F.get(x, i))
 
 
+def lower_bound(ascending: Column, value: Column, longest: int) -> Column:
+    """How many elements of ``ascending`` (at most ``longest``) lie below ``value``, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, longest.bit_length())))])
+
+    def step(at: Column, jump: Column) -> Column:
+        return F.when(F.get(ascending, at + jump - 1) < value, at + jump).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def half_even(value: Column) -> Column:
     """Round half to even, as a bigint."""
     return F.bround(value, 0).cast("bigint")

@@ -20,6 +20,17 @@ class Learner:
     def fit(self, train: DataFrame, keys: Sequence[str], dim: int, n_classes: int) -> DataFrame:
         raise NotImplementedError
 
+    def summaries(self, train: DataFrame, keys: Sequence[str], dim: int) -> DataFrame | None:
+        """(keys, y, sums) that can be added up over a key and from which ``fit_summaries`` makes the models.
+
+        None if the learner needs the rows themselves.
+        """
+        return None
+
+    def fit_summaries(self, parts: DataFrame, keys: Sequence[str], dim: int) -> DataFrame:
+        """The models that ``fit`` gives on the rows behind all summaries of each key."""
+        raise NotImplementedError
+
     def score_classes(self, x: Column, model: Fields = F.col) -> Column:
         """array<struct<c int, support double>> from ``x`` and the model's fields.
 
@@ -50,6 +61,12 @@ class Projected(Learner):
         seen = train.withColumn("x", self._seen(F.col("x"))).drop("b")  # bins belong to the unprojected features
         return self.learner.fit(seen, keys, len(self.features), n_classes)
 
+    def summaries(self, train: DataFrame, keys: Sequence[str], dim: int) -> DataFrame | None:
+        return self.learner.summaries(train.withColumn("x", self._seen(F.col("x"))), keys, len(self.features))
+
+    def fit_summaries(self, parts: DataFrame, keys: Sequence[str], dim: int) -> DataFrame:
+        return self.learner.fit_summaries(parts, keys, len(self.features))
+
     def score_classes(self, x: Column, model: Fields = F.col) -> Column:
         return self.learner.score_classes(self._seen(x), model)
 

@@ -42,7 +42,32 @@ class GaussianBayes(Learner):
         return means.join(spread, [*keys, "y"])
 
     def fit(self, train: DataFrame, keys: Sequence[str], dim: int, n_classes: int = 0) -> DataFrame:
-        per_class = self.moments(train, keys, dim)
+        return self._densities(self.moments(train, keys, dim), keys)
+
+    def summaries(self, train: DataFrame, keys: Sequence[str], dim: int) -> DataFrame:
+        """(keys, y, n, mean, var)."""
+        return self.moments(train, keys, dim)
+
+    def fit_summaries(self, parts: DataFrame, keys: Sequence[str], dim: int) -> DataFrame:
+        """Means first, then the variances inside the parts and between their means: no difference of large squares."""
+        keys, n = list(keys), F.col("n")
+        means = settle(
+            parts.groupBy(*keys, "y").agg(
+                F.sum(n).alias("total"),
+                F.array(*[F.sum(n * F.get("mean", F.lit(i))) / F.sum(n) for i in range(dim)]).alias("middle"),
+            ),
+            "means",
+        )
+
+        def spread(i: int) -> Column:
+            off = F.get("mean", F.lit(i)) - F.get("middle", F.lit(i))
+            return F.sum(n * (F.get("var", F.lit(i)) + off * off)) / F.sum(n)
+
+        around = parts.join(means, [*keys, "y"]).groupBy(*keys, "y").agg(F.array(*[spread(i) for i in range(dim)]).alias("var"))
+        merged = means.join(around, [*keys, "y"])
+        return self._densities(merged.withColumnsRenamed({"total": "n", "middle": "mean"}), keys)
+
+    def _densities(self, per_class: DataFrame, keys: Sequence[str]) -> DataFrame:
         gathered = per_class.groupBy(*keys).agg(
             F.array_sort(F.collect_list(F.struct(F.col("y").alias("c"), "n", "mean", "var"))).alias("m"),
             F.max(F.array_max("var")).alias("top"),

@@ -16,9 +16,18 @@ class NearestCentroid(Learner):
     """One weighted mean per (key, class); support is the negative squared distance."""
 
     def fit(self, train: DataFrame, keys: Sequence[str], dim: int, n_classes: int = 0) -> DataFrame:
+        return self.fit_summaries(self.summaries(train, keys, dim), keys, dim)
+
+    def summaries(self, train: DataFrame, keys: Sequence[str], dim: int) -> DataFrame:
+        """(keys, y, n: weight, sums: weighted sum per feature)."""
         w = weight(train)
-        means = train.groupBy(*keys, "y").agg(
-            F.array(*[F.sum(w * F.get("x", F.lit(i))) / F.sum(w) for i in range(dim)]).alias("center")
+        return train.groupBy(*keys, "y").agg(
+            F.sum(w).alias("n"), F.array(*[F.sum(w * F.get("x", F.lit(i))) for i in range(dim)]).alias("sums")
+        )
+
+    def fit_summaries(self, parts: DataFrame, keys: Sequence[str], dim: int) -> DataFrame:
+        means = parts.groupBy(*keys, "y").agg(
+            F.array(*[F.sum(F.get("sums", F.lit(i))) / F.sum("n") for i in range(dim)]).alias("center")
         )
         return settle(
             means.groupBy(*keys).agg(
