@@ -300,3 +300,32 @@ def test_pipeline_stages(spark, docs):
             assert rows.count() <= before.count()
     packed = corpus_pipeline.STAGES[4][1](spark, rows, SF)
     assert packed.agg(F.countDistinct("doc_id")).first()[0] == rows.select("doc_id").distinct().count()
+
+
+def test_secret_beside_a_base_span():
+    """The base span stays, and what it leaves of a longer secret is reported too."""
+    known, tail = "0123456789abcdef0123456789abcdef", "Qx7ZpL2vN9sKmT4wYb8R"
+    text = f"bearer {known}{tail}"
+    assert [s[:3] for s in secrets.find_secrets(text)] == [(7, 39, "hex"), (39, 59, "novel")]
+    assert secrets.redact(text) == "bearer [secret][secret]"
+    text = f"token {tail}{known}x9"  # on both sides, one shorter than a secret of its own
+    assert [s[:3] for s in secrets.find_secrets(text)] == [(6, 26, "novel"), (26, 58, "hex"), (58, 60, "novel")]
+    text = f"the secret my1password={tail}"  # a name is none
+    assert [s[2] for s in secrets.find_secrets(text)] == ["assign"]
+
+
+def test_revisit_ports_and_far_times(spark):
+    """A default port belongs to its scheme; one far-off time does not change what is found."""
+    urls = ["http://h:443/x", "https://h/x", "http://h:80/x", "HTTPS://h:443/x/", "https://h:80/x"]
+    got = spark.createDataFrame([(u,) for u in urls], "url string").select(warc.canonical_url(F.col("url")).alias("c")).collect()
+    assert [r.c for r in got] == ["h:443/x", "h/x", "h/x", "h/x", "h:80/x"]
+    tag = lambda t: {"etag": str(t)}
+    data = [(2 * t, "http://h/", t // 2, 200, tag(t // 2), str(t)) for t in range(60)]
+    data += [(2 * t + 1, "http://h:80", t // 2 + 0.5, 304, tag(t // 2), None) for t in range(60)]
+    data.append((999, "http://h/", 1e15, 200, {}, "far"))
+    records = spark.createDataFrame(data, "record_id int, url string, ts double, status int, headers map<string,string>, digest string")
+    for bins in (2, 8, 256):
+        found = warc.resolve_revisits(records, bins).collect()
+        want = {2 * t + 1: 2 * (t // 2 * 2 + 1) for t in range(60)}  # the larger id of equal times
+        assert {r.record_id: r.response_id for r in found} == want and {r.outcome for r in found} == {"resolved"}
+    assert warc.resolve_revisits(records.limit(0)).count() == 0

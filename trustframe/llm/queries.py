@@ -65,7 +65,7 @@ OP1 = r"""
 WITH p AS (SELECT page_id AS p, url, html, regexp_replace(trim(url), '#.*$', '') AS bare FROM pages),
 u AS (SELECT *, '^(?i:https?)://([^/?]*)([^?]*)(?:\?(.*))?$' AS pat FROM p),
 c AS (SELECT *, CASE WHEN regexp_matches(bare, pat) THEN
-    regexp_replace(lower(regexp_extract(bare, pat, 1)), ':(80|443)$', '') || regexp_replace(regexp_extract(bare, pat, 2), '/+$', '')
+    regexp_replace(lower(regexp_extract(bare, pat, 1)), CASE WHEN regexp_matches(bare, '^(?i:https):') THEN ':443$' ELSE ':80$' END, '') || regexp_replace(regexp_extract(bare, pat, 2), '/+$', '')
     || coalesce('?' || nullif(array_to_string(list_filter(list_sort(string_split(regexp_extract(bare, pat, 3), '&')),
        lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|gclid|fbclid)(=|$)')), '&'), ''), '') ELSE bare END AS canonical_url FROM u),
 full_ AS (SELECT canonical_url, p * 2 AS id, p * 7919 % 1009 AS ts, substr(md5(html), 1, 16) AS tag, CASE WHEN p % 7 <> 3 THEN 'day ' || (p % 11) END AS day,

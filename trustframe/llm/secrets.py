@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
+from collections.abc import Container, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -74,21 +76,32 @@ def is_novel(text: str, start: int, end: int) -> bool:
     return left >= NOVELTY * min(len(piece), entropy_bytes(piece.encode()) if len(piece) >= 64 else len(piece))
 
 
-def novel(text: str) -> list[tuple[int, int]]:
-    """Candidates that start within AHEAD of a sensitive word and are novel, and those on lines that adjoin a reported one."""
+def novel(text: str, covered: Sequence[Sequence[int]] = (), names: Container[int] = ()) -> list[tuple[int, int]]:
+    """Candidates that start within AHEAD of a sensitive word and are novel, and those on lines that adjoin such a one.
+
+    ``covered`` spans (ascending, disjoint) are known already: what they leave of a candidate is judged piece by piece; a
+    piece that ends at one of ``names`` is the name of an assignment.
+    """
     found, done = [], 0
     for word in CONTEXT.finditer(text):
         at, last = max(word.end(), done), word.end() + AHEAD
         while m := CANDIDATE.search(text, at, min(len(text), last + LEAST_NOVEL)):
             start = m.start()
             at = done = CANDIDATE.match(text, start).end()  # the window may cut it
-            while is_novel(text, start, done):
-                found.append((start, done))
+            while True:
+                whole, pieces = is_novel(text, start, done), _beside(start, done, covered)
+                if pieces != [(start, done)]:
+                    pieces = [(a, b) for a, b in pieces if b not in names and is_novel(text, a, b)]
+                elif not whole:
+                    break
+                found += pieces
+                if not (whole or pieces):
+                    break
                 gap = ADJOINING.match(text, done)
                 more = gap and CANDIDATE.match(text, gap.end())
                 if not more:
                     if tail := gap and TAIL.match(text, gap.end()):
-                        found.append(tail.span())
+                        found += _beside(*tail.span(), covered)
                         done = tail.end()
                     break
                 start, done = more.span()
@@ -96,15 +109,34 @@ def novel(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def _beside(start: int, end: int, covered: Sequence[Sequence[int]]) -> list[tuple[int, int]]:
+    """What the ascending, disjoint ``covered`` spans leave of start..end."""
+    pieces, at = [], bisect.bisect_left(covered, start, key=lambda c: c[1])
+    while at < len(covered) and covered[at][0] < end:
+        if covered[at][0] > start:
+            pieces.append((start, covered[at][0]))
+        start = max(start, covered[at][1])
+        at += 1
+    return [*pieces, (start, end)] if start < end else pieces
+
+
 def find_secrets(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, kind, start of the secret itself) by start, then kind; code points, end exclusive.
 
-    Base spans are leftmost and non-overlapping per kind. A novel span that touches a base span is left out.
+    Base spans are leftmost and non-overlapping per kind. Of a novel span that touches base spans, the pieces beside them
+    that are novel themselves remain, however short, but not the name before an assignment.
     """
     base = [(m.start(), m.end(), "assign", m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST["assign"]]
     base += [(m.start(), m.end(), "access", m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
     base += [(m.start(), m.end(), "hex", m.start()) for m in LONG_HEX.finditer(text)]
-    more = [(a, b, "novel", a) for a, b in novel(text) if all(b <= s or a >= e for s, e, _, _ in base)]
+    covered: list[list[int]] = []
+    for start, end in sorted(s[:2] for s in base):
+        if covered and start <= covered[-1][1]:
+            covered[-1][1] = max(end, covered[-1][1])
+        else:
+            covered.append([start, end])
+    names = {s[0] for s in base if s[2] == "assign"}
+    more = [(a, b, "novel", a) for a, b in novel(text, covered, names)]
     return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

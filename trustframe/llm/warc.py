@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trustframe.functions.arrays import lower_bound
+
 #: Headers that a 304 may not change in the stored response (connection-level ones and those that describe the body).
 KEPT_HEADERS = [
     "connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "proxy-connection", "te", "trailer",
@@ -15,12 +17,13 @@ TRACKING = r"^(utm_[^=]*|gclid|fbclid)(=|$)"
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme, fragment, default port, trailing slashes and tracking parameters go; host in lower case, parameters sorted.
+    """Scheme, fragment, the scheme's own default port, trailing slashes and tracking parameters go; host in lower case, parameters sorted.
 
     What is not an http(s) URL is only trimmed; null stays null.
     """
     bare = F.regexp_replace(F.trim(url), "#.*$", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(bare, URL, 1)), ":(80|443)$", "")
+    host, port = F.lower(F.regexp_extract(bare, URL, 1)), F.when(bare.rlike("^(?i:https):"), ":443$").otherwise(":80$")
+    host = F.regexp_replace(host, port, F.lit(""))
     path = F.regexp_replace(F.regexp_extract(bare, URL, 2), "/+$", "")
     pairs = F.filter(F.array_sort(F.split(F.regexp_extract(bare, URL, 3), "&")), lambda p: (p != "") & ~p.rlike(TRACKING))
     query = F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise("")
@@ -45,17 +48,19 @@ def resolve_revisits(records: DataFrame, bins: int = 256) -> DataFrame:
     go by record_id; of repeated rows each is answered. Merged headers are the response's, overwritten by the
     revisit's except for ``KEPT_HEADERS``; null headers are empty.
 
-    No URL lies in one task: time is cut into ``bins``; a window inside (URL, bin) finds the latest response there,
-    and the last response of each earlier bin, at most ``bins`` rows for a URL, comes from a small second window.
+    No URL lies in one task: time is cut at quantiles of all rows' times into ``bins``, so that one far-off time moves no
+    cut and a URL has about 1/bins of all rows in a bin at most (rows of one URL and one time stay together); a window inside
+    (URL, bin) finds the latest response there, and the last response of each earlier bin, at most ``bins`` rows for a URL,
+    comes from a small second window.
     """
     headers = _lower_keys(F.coalesce(F.col("headers"), F.create_map().cast("map<string,string>")))
     rows = records.where(F.col("status").isin(200, 304)).select(
         "record_id", canonical_url(F.col("url")).alias("canonical_url"), F.col("ts").cast("double").alias("at"),
         (F.col("status") == 304).alias("revisit"), headers.alias("headers"), "digest",
     )
-    span = rows.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
-    lo, width = span["lo"] or 0.0, ((span["hi"] or 0.0) - (span["lo"] or 0.0)) or 1.0
-    rows = rows.withColumn("bin", F.least(F.floor((F.col("at") - lo) / width * bins), F.lit(bins - 1)).cast("int"))
+    shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    cuts = rows.agg(F.array_distinct(F.percentile_approx("at", shares, 16 * bins)).alias("cuts")).first()["cuts"] or []
+    rows = rows.withColumn("bin", lower_bound(F.lit(cuts).cast("array<double>"), F.col("at"), bins))
     known = F.col("canonical_url").isNotNull() & F.col("at").isNotNull()
     full = F.when(known & ~F.col("revisit"), F.struct("at", "record_id", "headers", "digest"))
     rows = rows.withColumn("full", full)
