@@ -314,13 +314,18 @@ def test_secret_beside_a_base_span():
     assert [s[2] for s in secrets.find_secrets(text)] == ["assign"]
 
 
+def test_keep_first_with_a_clashing_column(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f g", 7), (2, "a b c d e f g", 1), (None, "a", 2)], "doc_id int, text string, _id int")
+    assert sorted(map(tuple, near_join.keep_first(rows).collect()), key=str) == [(1, "a b c d e f g", 7), (None, "a", 2)]
+
+
 def test_revisit_ports_and_far_times(spark):
     """A default port belongs to its scheme; one far-off time does not change what is found."""
     urls = ["http://h:443/x", "https://h/x", "http://h:80/x", "HTTPS://h:443/x/", "https://h:80/x"]
     got = spark.createDataFrame([(u,) for u in urls], "url string").select(warc.canonical_url(F.col("url")).alias("c")).collect()
     assert [r.c for r in got] == ["h:443/x", "h/x", "h/x", "h/x", "h:80/x"]
     tag = lambda t: {"etag": str(t)}
-    data = [(2 * t, "http://h/", t // 2, 200, tag(t // 2), str(t)) for t in range(60)]
+    data = [(2 * t, "http://h/", float(t // 2), 200, tag(t // 2), str(t)) for t in range(60)]
     data += [(2 * t + 1, "http://h:80", t // 2 + 0.5, 304, tag(t // 2), None) for t in range(60)]
     data.append((999, "http://h/", 1e15, 200, {}, "far"))
     records = spark.createDataFrame(data, "record_id int, url string, ts double, status int, headers map<string,string>, digest string")
