@@ -320,5 +320,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each class stays, the one whose doc_id is the class; rows without doc_id all stay. Same columns."""
     classes = near_classes(docs.select("doc_id", "text"))
     first = classes.where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(first, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id IS NULL"))
