@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trustframe.checks import kept, query
-from trustframe.checks.models_sql import centroid_cte, f1_cte, folds_cte, gnb_cte, train_cte
+from trustframe.checks.models_sql import centroid_cte, f1_cte, folds_cte, gnb_cte, train_cte, tree_cte
 from trustframe.checks.profile_checks import COLLECTION, collection
 from trustframe.checks.tables import POINTS, STATUS, VECTORS, points, status_vectors, table, vectors, with_
 from trustframe.learners import Boosting, DecisionTree, GaussianBayes, NearestCentroid, Projected, RandomForest
@@ -262,12 +262,25 @@ def nearest_parts(spark, folder):
 
 @query()
 def tree_predict(spark, folder):
-    return _predict(DecisionTree(depth=4), vectors(spark, folder), 4, 3)
+    """To pure leaves."""
+    return _predict(DecisionTree(), vectors(spark, folder), 4, 3)
+
+
+@query(with_(VECTORS, HALVES, tree_cte(2, range(1, 5), 3), select="SELECT * FROM tpred"))
+def tree_two_levels(spark, folder):
+    return _predict(DecisionTree(depth=2), vectors(spark, folder), 4, 3)
+
+
+@query(with_(POINTS, HALVES, tree_cte(3, range(1, 65), 10), select="SELECT * FROM tpred"))
+def tree_three_levels(spark, folder):
+    """64 features, ten classes."""
+    return _predict(DecisionTree(depth=3), points(spark, folder), 64, 10)
 
 
 @query()
 def forest_predict(spark, folder):
-    return _predict(RandomForest(trees=5, depth=3), vectors(spark, folder), 4, 3)
+    """Trees to pure leaves on balanced weights."""
+    return _predict(RandomForest(balanced=True), vectors(spark, folder), 4, 3)
 
 
 @query()

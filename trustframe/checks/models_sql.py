@@ -67,3 +67,34 @@ def f1_cte(keys: Sequence[str], pred: str, out: str = "f1") -> str:
     CAST(count(*) FILTER (y_true = c) AS DOUBLE) AS sup, CAST(count(*) FILTER (y_pred = c) AS DOUBLE) AS pre FROM
     (SELECT *, unnest(CASE WHEN y_true = y_pred THEN [y_true] ELSE [y_true, y_pred] END) AS c FROM {pred}) GROUP BY ALL),
   {out} AS (SELECT {lead}sum(sup * 2 * tp / (sup + pre)) / sum(sup) AS f1 FROM {out}_c {group})"""
+
+
+def tree_cte(depth: int, features, n_classes: int, out: str = "tpred") -> str:
+    """Greedy Gini tree of the table ``train``, applied to ``test``: (row_id, y_true, y_pred)."""
+    codes = range(n_classes)
+
+    def quality(side: str) -> str:
+        return f"({' + '.join(f'{side}{c} * {side}{c}' for c in codes)}) / ({' + '.join(f'{side}{c}' for c in codes)})"
+
+    parts = ["at0 AS (SELECT row_id, x, y, 1 AS node, true AS fits FROM train UNION ALL SELECT row_id, x, y, 1, false FROM test)"]
+    for level in range(depth):
+        counts = ", ".join(f"CAST(count(*) FILTER (y = {c}) AS DOUBLE) AS c{c}" for c in codes)
+        below = ", ".join(f"sum(c{c}) OVER (PARTITION BY node, f ORDER BY v) AS l{c}" for c in codes)
+        whole = ", ".join(f"sum(c{c}) OVER (PARTITION BY node, f) AS t{c}" for c in codes)
+        above = ", ".join(f"t{c} - l{c} AS r{c}" for c in codes)
+        mixed = " + ".join(f"(t{c} > 0)::INT" for c in codes)
+        parts += [
+            f"cell{level} AS (SELECT node, f, x[f] AS v, {counts} FROM at{level}, (SELECT unnest({list(features)}) AS f) WHERE fits GROUP BY ALL)",
+            f"sums{level} AS (SELECT node, f, v, lead(v) OVER (PARTITION BY node, f ORDER BY v) AS above, {below}, {whole} FROM cell{level})",
+            f"side{level} AS (SELECT *, {above} FROM sums{level} WHERE above IS NOT NULL AND {mixed} > 1)",
+            f"""cut{level} AS (SELECT node, f, CASE WHEN (v + above) / 2 < above THEN (v + above) / 2 ELSE v END AS t FROM side{level}
+              QUALIFY row_number() OVER (PARTITION BY node ORDER BY {quality('l')} + {quality('r')} DESC, f, v) = 1)""",
+            f"""at{level + 1} AS (SELECT row_id, x, y, CASE WHEN f IS NULL THEN node ELSE 2 * node + (x[f] > t)::INT END AS node, fits
+              FROM at{level} LEFT JOIN cut{level} USING (node))""",
+        ]
+    parts += [
+        f"""leaf AS (SELECT node, y AS y_pred FROM at{depth} WHERE fits GROUP BY node, y
+          QUALIFY row_number() OVER (PARTITION BY node ORDER BY count(*) DESC, y) = 1)""",
+        f"{out} AS (SELECT row_id, y AS y_true, y_pred FROM at{depth} JOIN leaf USING (node) WHERE NOT fits)",
+    ]
+    return ",\n".join(parts)

@@ -70,6 +70,10 @@ class Projected(Learner):
     def score_classes(self, x: Column, model: Fields = F.col) -> Column:
         return self.learner.score_classes(self._seen(x), model)
 
+    def supports(self, test: DataFrame, model: DataFrame, keys: Sequence[str]) -> DataFrame:
+        seen = test.withColumns({"_whole": F.col("x"), "x": self._seen(F.col("x"))})
+        return self.learner.supports(seen, model, keys).withColumn("x", F.col("_whole")).drop("_whole")
+
 
 def best_class(supports: Column) -> Column:
     """Class of largest support, lowest code on ties."""

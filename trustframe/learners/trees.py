@@ -1,6 +1,7 @@
-"""Histogram trees grown level by level for all replicates at once.
+"""Trees, forests and boosting for all replicates at once.
 
-A level is one job: rows find their node, explode their binned features, and are
+Trees and forests grow to pure leaves (``growth``). Boosting grows histogram trees, and a level
+of them is one job: rows find their node, explode their binned features, and are
 combined map-side into (key, node, feature, bin) sums. What is shuffled is the
 histogram, whose size does not depend on the number of rows. The chosen splits are a
 small table, fixed after every level.
@@ -17,8 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustframe.functions.arrays import let
-from trustframe.functions.hashing import hash_int, hash_unit
+from trustframe.functions.hashing import hash_unit
 from trustframe.learners.base import Fields, Learner, softmax, weight
+from trustframe.learners.growth import NAMES, forest_shares, grow_trees, leaf_counts, ordered
 from trustframe.operators.storage import settle, settle_small, with_row
 
 Score = Callable[[list[Column]], Column]
@@ -87,9 +89,6 @@ def grow(
     stats: Sequence[str],
     score: Score,
     depth: int,
-    dim: int,
-    feature_share: float = 1.0,
-    seed: int = 1410,
 ) -> DataFrame:
     """Splits of one tree per group: (groups, node, f, t, left, right, total).
 
@@ -97,7 +96,6 @@ def grow(
     ``b[f] > t`` right and maximises score(left) + score(right) over score(total).
     """
     groups = list(groups)
-    m = max(1, math.ceil(feature_share * dim))
     nodes: DataFrame | None = None
     for level in range(depth):
         if nodes is None:
@@ -111,9 +109,6 @@ def grow(
             .groupBy(*groups, "node", "f", "bin")
             .agg(*[F.sum(s).alias(s) for s in stats])
         )
-        if m < dim:
-            order = Window.partitionBy(*groups, "node").orderBy(hash_int(seed, *[F.col(g) for g in groups], F.col("node"), F.col("f")))
-            cells = cells.withColumn("_r", F.dense_rank().over(order)).where(F.col("_r") <= m).drop("_r")
         upto = Window.partitionBy(*groups, "node", "f").orderBy("bin")
         whole = Window.partitionBy(*groups, "node", "f")
         sums = cells.select(
@@ -178,11 +173,6 @@ def leaf_value(tree: Column, x: Column, depth: int) -> Column:
     return F.try_element_at(tree["leaves"], node)
 
 
-def _gini(stats: list[Column]) -> Column:
-    total = reduce(add, stats)
-    return F.coalesce(F.try_divide(reduce(add, [s * s for s in stats]), total), F.lit(0.0))
-
-
 def _share(counts: Column) -> Column:
     def shares(values: Column) -> Column:
         return let(
@@ -194,50 +184,57 @@ def _share(counts: Column) -> Column:
 
 
 class DecisionTree(Learner):
-    """Gini tree; with ``trees`` > 1 a forest of Poisson-weighted trees."""
+    """Gini tree to pure leaves (``growth``); with ``trees`` > 1 a forest of Poisson-weighted trees.
+
+    ``depth`` and ``min_rows`` stop it earlier. Missing values go left at every split, NaN goes right.
+    """
 
-    needs_bins = True
-    edges: DataFrame | None = None
     trees = 1
-    feature_share = 1.0
 
-    def __init__(self, depth: int = 5, bins: int = 32, seed: int = 1410):
-        self.depth, self.bins, self.seed = depth, bins, seed
+    def __init__(self, depth: int | None = None, min_rows: int = 2, task_cells: int = 500_000, seed: int = 1410):
+        self.depth, self.min_rows, self.task_cells, self.seed = depth, min_rows, task_cells, seed
 
     def _members(self, train: DataFrame, keys: Sequence[str]) -> DataFrame:
-        return train.withColumn("tree", F.lit(0)).withColumn("_w", weight(train))
+        return train.withColumn("tree", F.lit(0)).withColumn("w", weight(train))
+
+    def _tries(self, dim: int) -> int:
+        return dim
 
     def fit(self, train: DataFrame, keys: Sequence[str], dim: int, n_classes: int) -> DataFrame:
-        train = prepared(train, [self], dim, keys)
-        rows = self._members(train, keys).where(F.col("_w") > 0)
-        stats = [f"s{c}" for c in range(n_classes)]
-        rows = rows.select(
-            *keys, "tree", "b",
-            *[F.when(F.col("y") == c, F.col("_w")).otherwise(0.0).alias(s) for c, s in enumerate(stats)],
+        keys = list(keys)
+        train = train.where("y IS NOT NULL")
+        rows = self._members(train, keys).where(F.col("w") > 0)
+        trees = grow_trees(
+            rows.select(*keys, "tree", "x", "y", "w"), [*keys, "tree"], n_classes, dim, self.depth, self._tries(dim),
+            self.min_rows, task_cells=self.task_cells, seed=self.seed,
         )
-        groups = [*keys, "tree"]
-        nodes = grow(rows, groups, stats, _gini, self.depth, dim, self.feature_share, self.seed)
-        models = tree_models(nodes, self.edges, groups, _share)
         prior = train.groupBy(*keys).agg(
             F.array(*[F.sum(F.when(F.col("y") == c, weight(train)).otherwise(0.0)) for c in range(n_classes)]).alias("prior")
         )
-        packed = models.groupBy(*keys).agg(F.collect_list(F.struct("tree", "splits", "leaves")).alias("forest"))
-        return settle(prior.join(packed, list(keys), "left"), "forest")
+        packed = trees.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("tree", *NAMES))).alias("forest"))
+        return settle(prior.join(packed, keys, "left"), "forest")
 
     def score_classes(self, x: Column, model: Fields = F.col) -> Column:
         forest, prior = model("forest"), model("prior")
-        votes = F.transform(forest, lambda t: leaf_value(t, x, self.depth))
+        votes = let(F.transform(x, ordered), lambda v: F.transform(forest, lambda t: _share(leaf_counts(t, v))))
         start = F.transform(prior, lambda _: F.lit(0.0))
         summed = F.aggregate(votes, start, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
         scores = F.when(forest.isNull(), prior).otherwise(summed)
         return F.transform(_share(scores), lambda v, i: F.struct(i.alias("c"), v.alias("support")))
 
+    def supports(self, test: DataFrame, model: DataFrame, keys: Sequence[str]) -> DataFrame:
+        shares = forest_shares(test, model, keys, "_shares")
+        each = F.transform("_shares", lambda v, i: F.struct(i.alias("c"), v.alias("support")))
+        return shares.withColumn("supports", each).drop("_shares")
+
 
 class RandomForest(DecisionTree):
     """Trees on Poisson(1) row weights with sqrt(d) features tried per node."""
 
-    def __init__(self, trees: int = 20, depth: int = 5, bins: int = 32, seed: int = 1410, balanced: bool = False):
-        super().__init__(depth, bins, seed)
+    def __init__(
+        self, trees: int = 20, depth: int | None = None, min_rows: int = 2, task_cells: int = 500_000, seed: int = 1410, balanced: bool = False
+    ):
+        super().__init__(depth, min_rows, task_cells, seed)
         self.trees, self.balanced = trees, balanced
 
     def _members(self, train: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -246,10 +243,12 @@ class RandomForest(DecisionTree):
         # cumulative Poisson(1) probabilities (fixed values)
         steps = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
         poisson = reduce(add, [(u >= s).cast("double") for s in steps])
-        return rows.withColumn("_w", poisson * weight(train))
+        return rows.withColumn("w", poisson * weight(train))
+
+    def _tries(self, dim: int) -> int:
+        return math.ceil(math.sqrt(dim))
 
     def fit(self, train: DataFrame, keys: Sequence[str], dim: int, n_classes: int) -> DataFrame:
-        self.feature_share = math.sqrt(dim) / dim
         if self.balanced:
             sizes = settle_small(train.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("_n")), "sizes")
             per_key = Window.partitionBy(*keys)
@@ -297,7 +296,7 @@ class Boosting(Learner):
                 (F.col("_w") * (F.col("p.support") - (F.col("y") == F.col("p.c")).cast("double"))).alias("g"),
                 (F.col("_w") * F.col("p.support") * (1 - F.col("p.support"))).alias("h"),
             )
-            nodes = grow(graded, groups, ["g", "h"], self._score, self.depth, dim)
+            nodes = grow(graded, groups, ["g", "h"], self._score, self.depth)
             grown = (
                 tree_models(nodes, self.edges, groups, self._leaf)
                 .groupBy(*keys)
