@@ -289,7 +289,7 @@ def nonuniform_vote(spark, folder):
     """Trees on subspaces drawn by logistic importance."""
     rows = settle(two(points(spark, folder)), "rows")
     shares = subspaces.subspace_shares(subspaces.logistic_importance(rows, 64))
-    ensemble = Ensemble.fit(DecisionTree(depth=2), rows, 64, 2, subspaces.weighted_subspaces(shares, 10, 2))
+    ensemble = Ensemble.fit(DecisionTree(), rows, 64, 2, subspaces.weighted_subspaces(shares, 10, 2))
     return soft_vote(rows, ensemble).select("row_id", "y_pred")
 
 

@@ -70,7 +70,7 @@ def redundancy(spark, folder):
 @query()
 def redundancy_tree(spark, folder):
     """A stacked tree: scores of all runs and fractions of the grid, trained in one job per level."""
-    return red.split_scores(points(spark, folder), DecisionTree(depth=3), red.GRID, red.RUNS, 64, 10)
+    return red.split_scores(points(spark, folder), DecisionTree(), red.GRID, red.RUNS, 64, 10)
 
 
 BASELINE = ",\n".join([POINTS, folds_cte("vectors", 2, out="btest"), train_cte(2, "btest", "btrain"),
@@ -163,7 +163,7 @@ def association_status(spark, folder):
 @query()
 def association(spark, folder):
     """The whole test with the three tree learners, small settings."""
-    learners = {"DT": DecisionTree(depth=2), "RF": RandomForest(trees=2, depth=2, balanced=True), "XGB": Boosting(rounds=1, depth=2)}
+    learners = {"DT": DecisionTree(), "RF": RandomForest(trees=2, balanced=True), "XGB": Boosting(rounds=1, depth=2)}
     return assoc.association(points(spark, folder), learners, 64, 10, nperm=2, perc=PERC)["result"]
 
 
