@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,5 +66,18 @@ def duplicate_count(df: DataFrame, columns: Sequence[str], out: str = "duplicate
 
 
 def duplicate_listing(df: DataFrame, columns: Sequence[str], row_id: str = "row_id") -> DataFrame:
-    """All rows that ``dedupe`` removes (anti join on the unique row id)."""
-    return df.join(copies(df, columns, row_id).select(row_id), row_id, "left_anti")
+    """All rows that ``dedupe`` removes: each group of equal rows but one of its smallest row id.
+
+    A row id may stand on several rows, of one group or of several: rows are counted by all their columns, and one of the first is taken off.
+    """
+    others = [c for c in df.columns if c != row_id and c not in columns]
+    place = F.struct(F.col(row_id).isNull().alias("missing"), F.col(row_id).alias("id"), *others)
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_times"))
+    firsts = counted.groupBy(*columns).agg(F.min(place).alias("_first")).select(
+        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(columns)], "_first"
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(columns)]
+    first = reduce(and_, same, place.eqNullSafe(F.col("_first")))
+    left = counted.join(firsts, first, "left").withColumn("_times", F.col("_times") - F.col("_first").isNotNull().cast("int"))
+    again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))).alias("_turn")
+    return left.where("_times > 0").select(*df.columns, again).drop("_turn")
