@@ -90,7 +90,7 @@ def hard_vote_bagging(spark, folder):
 def umce_vote(spark, folder):
     """Regular mode without the over-sampled member."""
     rows = settle(imbalanced(spark, folder), "rows")
-    parts = undersampled.fit_parts(rows, GNB, 4)
+    parts = undersampled.fit_parts(rows, GNB, 4, regular=True)
     return undersampled.cube_vote(rows, parts).select("row_id", "y_pred")
 
 

@@ -11,7 +11,7 @@ from trustframe.ensembles.members import Ensemble, argmax
 from trustframe.functions.tails import normal_critical
 from trustframe.learners.base import Learner
 from trustframe.operators.ordering import running_sums
-from trustframe.operators.sampling import oversample, undersample, undersampled_folds
+from trustframe.operators.sampling import majority_split, oversample, undersample, undersampled_folds
 from trustframe.operators.scoring import confusion, score_table_wide
 
 MODES = ("regular", "weighted", "cweighted", "nweighted", "ncweighted")
@@ -53,6 +53,7 @@ class BalancedParts:
     ensemble: Ensemble
     k: int
     weights: list[float]
+    regular: bool = False  # neither the over-sampled member nor weights
 
     @property
     def scaled_weights(self) -> list[float]:
@@ -64,8 +65,13 @@ def _scaled(weights: list[float]) -> list[float]:
     return [(w - low) / (high - low) + 0.01 if high > low else 0.01 for w in weights]
 
 
-def fit_parts(rows: DataFrame, learner: Learner, dim: int, seed: int = 1410) -> BalancedParts:
-    parts = undersampled_folds(rows, seed=seed).withColumn("w", F.lit(1.0))
+def fit_parts(rows: DataFrame, learner: Learner, dim: int, seed: int = 1410, regular: bool = False) -> BalancedParts:
+    """All members and their weights; with ``regular`` only the balanced parts, all of weight 1, as mode "regular" sums them."""
+    folds = undersampled_folds(rows, seed=seed)
+    if regular:
+        k = majority_split(rows)[2]
+        return BalancedParts(Ensemble.fit(learner, folds, dim, 2), k, [1.0] * (k + 1), True)
+    parts = folds.withColumn("w", F.lit(1.0))
     k = parts.agg(F.max("member")).first()[0] + 1
     extra = oversample(rows, seed=seed).withColumn("member", F.lit(k))
     ensemble = Ensemble.fit(learner, parts.unionByName(extra, allowMissingColumns=True), dim, 2)
@@ -106,6 +112,10 @@ def decision_cube(
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
+    if oversampled and parts.regular:
+        raise ValueError("the over-sampled member was not trained")
+    if parts.regular and (mode != "regular" or segments is not None):
+        raise ValueError("weights of the members were not measured")
     esm = F.col("esm")
 
     def pair(i: int) -> list[Column]:
