@@ -3,13 +3,16 @@
 All members are trained in one job (key ``member``) and packed into a single array,
 whose size depends on the number of members, not on the rows. Every row is then
 scored by all members where it is: voting needs neither a join nor a shuffle.
+Learners with ``arrays`` score whole batches of rows; rows with missing values, and other learners, take the expression.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +24,8 @@ from trustframe.operators.storage import settle, settle_small, with_row
 class Ensemble:
     """Members of one learner, each with optional feature subset and weight."""
 
-    def __init__(self, learner: Learner, packed: DataFrame, n_classes: int, subspaced: bool):
-        self.learner, self.packed, self.n_classes, self.subspaced = learner, packed, n_classes, subspaced
+    def __init__(self, learner: Learner, packed: DataFrame, dim: int, n_classes: int, subspaced: bool):
+        self.learner, self.packed, self.dim, self.n_classes, self.subspaced = learner, packed, dim, n_classes, subspaced
 
     @classmethod
     def fit(
@@ -48,7 +51,7 @@ class Ensemble:
         fields = [c for c in model.columns if c != "member"]
         listed = F.collect_list(F.struct("member", *fields))
         packed = model.agg(F.array_sort(listed, lambda a, b: a["member"] - b["member"]).alias("members"))
-        return cls(learner, settle(packed, "ensemble"), n_classes, subspaces is not None)
+        return cls(learner, settle(packed, "ensemble"), dim, n_classes, subspaces is not None)
 
     def supports(self, rows: DataFrame, out: str = "esm") -> DataFrame:
         """Adds array<array<double>>: member by class."""
@@ -56,7 +59,7 @@ class Ensemble:
             x = take(F.col("x"), m["features"]) if self.subspaced else F.col("x")
             return dense(self.learner.score_classes(x, lambda name: m[name]), self.n_classes)
 
-        return with_row(rows, self.packed).withColumn(out, F.transform("members", one)).drop("members")
+        return self._scored(rows, out, one, votes=False)
 
     def votes(self, rows: DataFrame, out: str = "votes") -> DataFrame:
         """Adds array<int>: the class each member predicts."""
@@ -64,7 +67,39 @@ class Ensemble:
             x = take(F.col("x"), m["features"]) if self.subspaced else F.col("x")
             return best_class(self.learner.score_classes(x, lambda name: m[name]))
 
-        return with_row(rows, self.packed).withColumn(out, F.transform("members", one)).drop("members")
+        return self._scored(rows, out, one, votes=True)
+
+    def _scored(self, rows: DataFrame, out: str, one: Callable[[Column], Column], votes: bool) -> DataFrame:
+        each = F.transform("members", one)
+        if type(self.learner).arrays is Learner.arrays:
+            return with_row(rows, self.packed).withColumn(out, each).drop("members")
+        learner, dim, n_classes = self.learner, self.dim, self.n_classes
+        members = self.packed.first()["members"]
+        held = [(list(m["features"]) if self.subspaced else None, *learner.arrays(m)) for m in members]
+
+        def scored(x: pa.Array) -> pa.Array:
+            """Null for a row that is not given."""
+            found = np.full((len(x), len(held), 1 if votes else n_classes), 0.0)
+            some = np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False))
+            values = x.drop_null().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+            for k, (features, codes, held_by) in enumerate(held if len(some) else []):
+                given = learner.supports_of(values if features is None else values[:, features], held_by)
+                if votes:
+                    found[some, k, 0] = codes[given.argmax(axis=1)]
+                else:
+                    found[some[:, None], k, codes] = given
+            inner = pa.array(found.ravel())
+            if votes:
+                inner = inner.cast(pa.int32())
+            else:
+                inner = pa.ListArray.from_arrays(pa.array(np.arange(len(x) * len(held) + 1, dtype=np.int32) * n_classes), inner)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(held)), inner, mask=x.is_null())
+
+        batch = F.arrow_udf(scored, "array<int>" if votes else "array<array<double>>")
+        whole = (F.size("x") == dim) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v))
+        given = F.when(F.coalesce(whole, F.lit(False)), F.col("x"))
+        fast = with_row(rows.withColumn("_fast", batch(given)), self.packed)  # the members are not sent with the rows
+        return fast.withColumn(out, F.coalesce("_fast", each)).drop("members", "_fast")
 
 
 def project(train: DataFrame, subspaces: DataFrame) -> DataFrame:
