@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustframe.ensembles.members import Ensemble, argmax
@@ -75,37 +78,98 @@ def fit_parts(rows: DataFrame, learner: Learner, dim: int, seed: int = 1410, reg
     k = parts.agg(F.max("member")).first()[0] + 1
     extra = oversample(rows, seed=seed).withColumn("member", F.lit(k))
     ensemble = Ensemble.fit(learner, parts.unionByName(extra, allowMissingColumns=True), dim, 2)
-    long = ensemble.votes(rows).select(F.col("y").alias("y_true"), F.posexplode("votes").alias("member", "y_pred"))
-    bac = score_table_wide(confusion(long, ["member"]), ["member"]).select("member", "bac")
+    alike = ensemble.votes(rows).groupBy(F.col("y").alias("y_true"), "votes").agg(F.count(F.lit(1)).alias("n"))
+    each = alike.select("y_true", F.posexplode("votes").alias("member", "y_pred"), "n")
+    conf = each.groupBy("member", "y_true", "y_pred").agg(F.sum("n").alias("n"))
+    bac = score_table_wide(conf, ["member"]).select("member", "bac")
     weights = [r["bac"] for r in bac.orderBy("member").collect()]  # one per member
     return BalancedParts(ensemble, k, weights)
 
 
-def member_segments(rows: DataFrame, parts: BalancedParts, p_limit: float = 0.01) -> list[int]:
-    """Segment of every member: a member joins the last later one whose support of class 0
-    differs significantly (Wilcoxon); the over-sampled member stays alone."""
-    pairs = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                     (F.get(F.get("esm", F.lit(i)), F.lit(0)) - F.get(F.get("esm", F.lit(j)), F.lit(0))).alias("d"))
-            for i in range(parts.k)
-            for j in range(i + 1, parts.k)
-        ]
+def rank_bounds(pairs: list[tuple[int, int]], supports: DataFrame, fine: int = 7, octaves: int = 64) -> DataFrame:
+    """(i, j, low, high): bounds of |z| in the signed-rank test of every pair of members on their supports of class 0.
+
+    Tasks count positive and negative differences by the leading bits of their size (``fine`` bits of the fraction; all
+    below 2**-octaves are one bin). Which ranks a bin takes is known; inside it either sign may come first and any values may be tied.
+    """
+    bins = (octaves << fine) + 2
+    shift, least = 52 - fine, (1023 - octaves) << fine
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(pairs), 2, bins), dtype=np.int64)
+        for batch in batches:
+            values = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).T.copy()
+            for p, (i, j) in enumerate(pairs):
+                d = values[i] - values[j]
+                d = d[d != 0]
+                at = np.clip((np.abs(d).view(np.int64) >> shift) - least, 0, bins - 1)
+                below = d < 0
+                counts[p, 0] += np.bincount(at[~below], minlength=bins)
+                counts[p, 1] += np.bincount(at[below], minlength=bins)
+        for p, (i, j) in enumerate(pairs):
+            at = np.flatnonzero(counts[p].sum(axis=0))
+            keys = [pa.array(v, pa.int32()) for v in (np.full(len(at), i), np.full(len(at), j), at)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(counts[p, 0, at]), pa.array(counts[p, 1, at])], ["i", "j", "bin", "pos", "neg"])
+
+    first = supports.select(F.transform("esm", lambda m: F.get(m, F.lit(0))).alias("s")).where(F.forall("s", lambda v: v.isNotNull()))
+    found = first.mapInArrow(count, "i int, j int, bin int, pos bigint, neg bigint").groupBy("i", "j", "bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    earlier = Window.partitionBy("i", "j").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+    sums = found.withColumn("before", F.coalesce(F.sum(pos + neg).over(earlier), F.lit(0.0))).groupBy("i", "j").agg(
+        F.sum(pos + neg).alias("n"), F.sum(pos * F.col("before") + pos * (pos + 1) / 2).alias("w"), F.sum(pos * neg).alias("open"),
+        F.sum(F.pow(pos + neg, 3) - pos - neg).alias("ties"),
+    )
+    n = F.col("n")
+    whole, ranks = n * (n + 1) / 2, n * (n + 1) * (2 * n + 1)
+    nearest = F.least(F.col("w") + F.col("open"), whole - F.col("w"), whole / 2)
+    farthest = F.least(F.col("w"), whole - F.col("w") - F.col("open"))
+    return sums.select(
+        "i", "j", ((whole / 2 - nearest) / F.sqrt(ranks / 24)).alias("low"),
+        ((whole / 2 - farthest) / F.sqrt((ranks - F.col("ties") / 2) / 24)).alias("high"),
     )
+
+
+def member_segments(rows: DataFrame, parts: BalancedParts, p_limit: float = 0.01, fine: int = 7) -> list[int]:
+    """Segment of every member: a member joins the last later one whose support of class 0
+    differs significantly (Wilcoxon); the over-sampled member stays alone.
+
+    Counts of the differences by size decide nearly all pairs; the rest, if a segment hangs on it, is ranked exactly.
+    """
     segments = list(range(parts.k + 1))
     if parts.k < 2:
         return segments
-    differences = parts.ensemble.supports(rows).select(F.explode(pairs).alias("e")).select("e.*")
-    tested = wilcoxon(differences, ["i", "j"]).where(F.abs("z") > normal_critical(p_limit))
-    for r in tested.select("i", "j").orderBy("i", "j").collect():  # pairs of members
-        segments[r["i"]] = r["j"]
+    limit, slack = normal_critical(p_limit), 1e-9  # of rounding in the sums
+    supports = parts.ensemble.supports(rows)
+    every = [(i, j) for i in range(parts.k) for j in range(i + 1, parts.k)]
+    bounds = rank_bounds(every, supports, fine).collect()  # pairs of members
+    for r in bounds:
+        if r["low"] > limit * (1 + slack):
+            segments[r["i"]] = max(segments[r["i"]], r["j"])
+    unsure = [(r["i"], r["j"]) for r in bounds if r["low"] <= limit * (1 + slack) and r["high"] >= limit * (1 - slack) and r["j"] > segments[r["i"]]]
+    if unsure:
+        pairs = F.array(*[
+            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
+                     (F.get(F.get("esm", F.lit(i)), F.lit(0)) - F.get(F.get("esm", F.lit(j)), F.lit(0))).alias("d"))
+            for i, j in unsure
+        ])
+        differences = supports.select(F.explode(pairs).alias("e")).select("e.*")
+        tested = wilcoxon(differences, ["i", "j"]).where(F.abs("z") > limit)
+        for r in tested.select("i", "j").collect():  # pairs of members
+            segments[r["i"]] = max(segments[r["i"]], r["j"])
     return segments
 
 
 def decision_cube(
     parts: BalancedParts, mode: str, segments: list[int] | None = None, oversampled: bool = False
 ) -> Column:
-    """array (member or segment) of array (class) of supports for one of ``MODES``.
+    """array (member or segment) of array (class) of supports for one of ``MODES``."""
+    return F.array(*[F.array(a, b) for a, b in _layers(parts, mode, segments, oversampled)])
+
+
+def _layers(
+    parts: BalancedParts, mode: str, segments: list[int] | None, oversampled: bool
+) -> list[tuple[Column, Column]]:
+    """The supports of both classes by each member or segment.
 
     With ``segments`` the members of a segment are merged: their weighted supports are
     averaged first, and weights and contrasts are those of the segment.
@@ -140,8 +204,8 @@ def decision_cube(
         factor = F.lit(1.0) if mode == "regular" else F.lit(float(nw if mode.startswith("n") else w))
         if mode in ("cweighted", "ncweighted"):
             factor = factor * F.abs(a - b)
-        layers.append(F.array(a * factor, b * factor))
-    return F.array(*layers)
+        layers.append((a * factor, b * factor))
+    return layers
 
 
 def cube_vote(
@@ -149,10 +213,8 @@ def cube_vote(
     oversampled: bool = False,
 ) -> DataFrame:
     """Class of the largest summed support."""
-    cube = decision_cube(parts, mode, segments, oversampled)
-    summed = F.aggregate(
-        cube, F.array(F.lit(0.0), F.lit(0.0)), lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b)
-    )
+    layers = _layers(parts, mode, segments, oversampled)
+    summed = F.array(*[sum((layer[c] for layer in layers), F.lit(0.0)) for c in (0, 1)])
     return parts.ensemble.supports(rows).withColumn("y_pred", argmax(summed)).drop("esm")
 
 
